@@ -71,3 +71,30 @@ def with_quotes(
         F.when(is_match, from_micros(F.col("_us"))).alias("quote_ts"),
         *[F.when(is_match, F.col(f"_seen.{v}")).alias(v) for v in values],
     )
+
+
+def with_latest(
+    rows: DataFrame,
+    line: DataFrame,
+    values: Sequence[str],
+    tolerance_us: int,
+    keys: Sequence[str] = TICKER_DAY,
+    groups: Groups | None = None,
+) -> DataFrame:
+    """The last row of ``line`` at or before each order, unless older than ``tolerance_us``."""
+    keys = list(keys)
+    here = rows.select(
+        *keys, micros(F.col("order_ts")).alias("_us"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row")
+    )
+    there = line.select(
+        *keys, micros(F.col("quote_ts")).alias("_us"), F.lit(0).alias("_kind"), F.struct("quote_ts", *values).alias("_point")
+    )
+    groups = groups or measure_groups(rows.select(*keys).unionByName(line.select(*keys)), keys)
+    timeline = there.unionByName(here, allowMissingColumns=True)
+    seen = last_known(timeline, keys, ["_us", "_kind"], {"_seen": F.col("_point")}, groups)
+    found = seen.where(F.col("_row").isNotNull())
+    recent = F.col("_us") - micros(F.col("_seen.quote_ts")) <= tolerance_us
+    return found.select(
+        *[F.col(f"_row.{c}").alias(c) for c in rows.columns],
+        *[F.when(recent, F.col(f"_seen.{v}")).alias(v) for v in ("quote_ts", *values)],
+    )

@@ -11,7 +11,9 @@ from tapewatch.functions import times
 from tapewatch.operators.metrics import LABEL, SCORE, ranking_quality, with_rates
 from tapewatch.operators.ordered import exact_quantiles, join_on, small_side
 
-ROWS = F.lit(1)
+
+def row_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def rate(part: Column, whole: Column, scale: float = 1.0) -> Column:
@@ -23,31 +25,31 @@ def event_stream_summary(stream: DataFrame) -> DataFrame:
     return stream.groupBy("trade_date").agg(
         F.count_distinct("ticker").alias("tickers"),
         F.count_distinct("order_id").alias("orders"),
-        F.count(ROWS).alias("rows"),
+        row_count().alias("rows"),
     )
 
 
 def label_summary(labels: DataFrame, label: str = LABEL) -> DataFrame:
     """Samples, positives and their rate per day, and in total (day null)."""
     return labels.rollup("trade_date").agg(
-        F.count(ROWS).alias("samples"),
+        row_count().alias("samples"),
         F.sum(label).alias("positives"),
-        rate(F.sum(label), F.count(ROWS)).alias("positive_rate"),
+        rate(F.sum(label), row_count()).alias("positive_rate"),
     )
 
 
 def ticker_statistics(df: DataFrame) -> DataFrame:
     return df.groupBy("ticker").agg(
-        F.count(ROWS).alias("samples"),
+        row_count().alias("samples"),
         F.sum(LABEL).alias("positives"),
-        rate(F.sum(LABEL), F.count(ROWS), 100.0).alias("positive_pct"),
+        rate(F.sum(LABEL), row_count(), 100.0).alias("positive_pct"),
     )
 
 
 def ticker_statistics_summary(df: DataFrame) -> DataFrame:
     """Means over tickers, for when there are too many to list."""
     return ticker_statistics(df).agg(
-        F.count(ROWS).alias("tickers"),
+        row_count().alias("tickers"),
         F.avg("samples").alias("mean_samples"),
         F.avg("positives").alias("mean_positives"),
         F.avg("positive_pct").alias("mean_positive_pct"),
@@ -55,12 +57,12 @@ def ticker_statistics_summary(df: DataFrame) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    return df.groupBy(*by, LABEL).agg(F.count(ROWS).alias("rows"))
+    return df.groupBy(*by, LABEL).agg(row_count().alias("rows"))
 
 
 def ticker_inventory(df: DataFrame, min_samples: int = 0) -> DataFrame:
     """Samples and share per ticker with at least ``min_samples`` rows."""
-    counted = df.groupBy("ticker").agg(F.count(ROWS).alias("samples")).where(F.col("samples") >= min_samples)
+    counted = df.groupBy("ticker").agg(row_count().alias("samples")).where(F.col("samples") >= min_samples)
     total = counted.agg(F.sum("samples").alias("_total")).withColumn("_one", F.lit(1))
     shared = counted.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
     return shared.select("ticker", "samples", rate(F.col("samples"), F.col("_total"), 100.0).alias("share_pct"))
@@ -70,7 +72,7 @@ def inventory_summary(df: DataFrame, min_samples: int = 0) -> DataFrame:
     inventory = small_side(ticker_inventory(df, min_samples))
     middle = exact_quantiles(inventory, [], "samples", {"median_samples": 0.5}).withColumn("_one", F.lit(1))
     totals = inventory.agg(
-        F.count(ROWS).alias("tickers"), F.sum("samples").alias("rows"), F.avg("samples").alias("mean_samples")
+        row_count().alias("tickers"), F.sum("samples").alias("rows"), F.avg("samples").alias("mean_samples")
     )
     return totals.withColumn("_one", F.lit(1)).join(F.broadcast(middle), "_one").drop("_one")
 
@@ -119,9 +121,9 @@ def window_rates(df: DataFrame, label: str = LABEL) -> DataFrame:
         .where(F.col("window").isNotNull())
         .groupBy("window")
         .agg(
-            F.count(ROWS).alias("rows"),
+            row_count().alias("rows"),
             F.sum(label).alias("positives"),
-            rate(F.sum(label), F.count(ROWS), 100.0).alias("positive_pct"),
+            rate(F.sum(label), row_count(), 100.0).alias("positive_pct"),
         )
     )
 
@@ -129,7 +131,7 @@ def window_rates(df: DataFrame, label: str = LABEL) -> DataFrame:
 def label_totals(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Time range of the table and positives per label, one row per label."""
     wide = df.agg(
-        F.count(ROWS).alias("samples"),
+        row_count().alias("samples"),
         F.min("order_ts").alias("first_order"),
         F.max("order_ts").alias("last_order"),
         *[F.sum(c).alias(c) for c in labels],
@@ -141,7 +143,7 @@ def label_totals(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def positives_by_period(df: DataFrame, label: str = LABEL) -> DataFrame:
     marked = with_time_parts(df).where(F.col(label) == 1)
-    return marked.groupBy("period").agg(F.count(ROWS).alias("positives"))
+    return marked.groupBy("period").agg(row_count().alias("positives"))
 
 
 def hourly_positive_rate(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -169,10 +171,10 @@ def prediction_summary(df: DataFrame, score: str = SCORE) -> DataFrame:
     """One row: counts, share of predicted positives and the spread of scores."""
     middle = exact_quantiles(df, [], score, {"median_proba": 0.5}).withColumn("_one", F.lit(1))
     totals = df.agg(
-        F.count(ROWS).alias("rows"),
+        row_count().alias("rows"),
         F.sum(LABEL).alias("positives"),
         F.sum("predicted_binary").alias("predicted_positives"),
-        rate(F.sum("predicted_binary"), F.count(ROWS), 100.0).alias("predicted_pct"),
+        rate(F.sum("predicted_binary"), row_count(), 100.0).alias("predicted_pct"),
         F.min(score).alias("min_proba"),
         F.max(score).alias("max_proba"),
         F.avg(score).alias("mean_proba"),
@@ -183,7 +185,7 @@ def prediction_summary(df: DataFrame, score: str = SCORE) -> DataFrame:
 
 def prediction_summary_by_ticker(df: DataFrame, score: str = SCORE) -> DataFrame:
     return df.groupBy("ticker").agg(
-        F.count(ROWS).alias("rows"),
+        row_count().alias("rows"),
         F.sum(LABEL).alias("positives"),
         F.round(F.avg(score), 4).alias("mean_proba"),
         F.round(F.max(score), 4).alias("max_proba"),
@@ -194,14 +196,14 @@ def prediction_summary_by_ticker(df: DataFrame, score: str = SCORE) -> DataFrame
 def daily_summary(df: DataFrame, score: str = SCORE) -> DataFrame:
     """Counts, scores and anomaly rates per day."""
     return df.groupBy("trade_date").agg(
-        F.count(ROWS).alias("rows"),
+        row_count().alias("rows"),
         F.sum(LABEL).alias("positives"),
         F.round(F.avg(score), 4).alias("mean_proba"),
         F.round(F.max(score), 4).alias("max_proba"),
         F.round(F.stddev_samp(score), 4).alias("std_proba"),
         F.sum("predicted_binary").alias("predicted_positives"),
-        rate(F.sum(LABEL), F.count(ROWS)).alias("anomaly_rate"),
-        rate(F.sum("predicted_binary"), F.count(ROWS)).alias("pred_anomaly_rate"),
+        rate(F.sum(LABEL), row_count()).alias("anomaly_rate"),
+        rate(F.sum("predicted_binary"), row_count()).alias("pred_anomaly_rate"),
     )
 
 
@@ -209,14 +211,14 @@ def monthly_summary(df: DataFrame, score: str = SCORE) -> DataFrame:
     """Totals per month with averages and extremes over its days."""
     month = F.substring("trade_date", 1, 6)
     days = df.groupBy(month.alias("month"), "trade_date").agg(
-        F.count(ROWS).alias("rows"), F.sum(LABEL).alias("positives"), F.sum("predicted_binary").alias("predicted")
+        row_count().alias("rows"), F.sum(LABEL).alias("positives"), F.sum("predicted_binary").alias("predicted")
     )
     by_day = days.groupBy("month").agg(
         F.sum("rows").alias("rows"),
         F.sum("positives").alias("positives"),
         rate(F.sum("positives"), F.sum("rows"), 100.0).alias("anomaly_pct"),
         F.sum("predicted").alias("predicted_positives"),
-        F.count(ROWS).alias("trading_days"),
+        row_count().alias("trading_days"),
         F.avg("rows").alias("mean_daily_rows"),
         F.avg("positives").alias("mean_daily_positives"),
         F.max("positives").alias("max_daily_positives"),
@@ -231,7 +233,7 @@ def monthly_summary(df: DataFrame, score: str = SCORE) -> DataFrame:
 def alert_counts(df: DataFrame, threshold: float = 0.5, score: str = SCORE) -> DataFrame:
     """True positives and scores above the threshold per ticker and day."""
     return df.groupBy("ticker", "trade_date").agg(
-        F.count(ROWS).alias("rows"),
+        row_count().alias("rows"),
         F.sum(LABEL).alias("positives"),
         F.count_if(F.col(score) > threshold).alias("alerts"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.functions.times import tick_time
-from tapewatch.operators.asof import with_quotes
+from tapewatch.operators.asof import with_latest
 from tapewatch.operators.ordered import first_per_key
 from tapewatch.schemas import TICKER_DAY
 
@@ -63,6 +63,6 @@ def price_column(df: DataFrame) -> str:
     raise ValueError("no price column")
 
 
-def marked_orders(predictions: DataFrame, line: DataFrame, tolerance_us: int, grid_us: int = 1) -> DataFrame:
+def marked_orders(predictions: DataFrame, line: DataFrame, tolerance_us: int) -> DataFrame:
     """Predictions with the price at their time (the last one at most ``tolerance_us`` old)."""
-    return with_quotes(predictions, line, values=("price",), grid_us=grid_us, tolerance_us=tolerance_us)
+    return with_latest(predictions, line, ("price",), tolerance_us)
