@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("stage1", "features", "labels", "evaluation", "reports", "selection", "tables")
+FAMILIES = ("stage1", "features", "labels", "evaluation", "reports", "selection", "tables", "training")
 
 
 def _load() -> None:

@@ -209,11 +209,11 @@ def t5(spark, sf):
 
 
 @query("P35_mean_focal_loss", """
-, t AS (SELECT predicted_proba AS p, y_label AS y FROM pep WHERE predicted_proba > 0 AND predicted_proba < 1),
+, t AS (SELECT predicted_proba AS p, y_label AS y FROM pep),
 w AS (SELECT *, (CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END) * pow(1 - (CASE WHEN y = 1 THEN p ELSE 1 - p END), 2) AS w FROM t)
 SELECT round(avg(w * -(CASE WHEN y = 1 THEN ln(p + 1e-8) ELSE ln(1 - p + 1e-8) END)), 6) AS focal_loss FROM w
 """)
 def p35(spark, sf):
     from tapewatch.plans.models import mean_focal_loss
 
-    return rounded(mean_focal_loss(b.pe(spark, sf).where("predicted_proba > 0 AND predicted_proba < 1")))
+    return rounded(mean_focal_loss(b.pe(spark, sf)))

@@ -60,11 +60,9 @@ round(coalesce((coalesce(bid_vol1, 0) - coalesce(ask_vol1, 0)) / (coalesce(bid_v
 """
 
 
-@query("P16_P19_P20_P21_P22_price_features", f"SELECT order_id, {PRICE_SQL} FROM tkm WHERE abs(delta_mid) > 0.001 OR delta_mid IS NULL")
+@query("P16_P19_P20_P21_P22_price_features", f"SELECT order_id, {PRICE_SQL} FROM tkm")
 def p16(spark, sf):
-    # cluster_score of an order at the middle is a million and amplifies rounding of the middle itself
-    apart = (F.abs("delta_mid") > 0.001) | F.col("delta_mid").isNull()
-    return booked(spark, sf).where(apart).select(
+    return booked(spark, sf).select(
         "order_id",
         r(fx.pct_spread(), 5).alias("pct_spread"),
         r(fx.price_dev_prevclose_bps(), 5).alias("price_dev_prevclose_bps"),

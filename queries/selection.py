@@ -40,15 +40,13 @@ def j4(spark, sf):
 
 
 def named_tickers(spark, sf):
-    """Tickers that some large customer's key falls on, plus one that does not exist."""
-    wanted = b.table(spark, sf, "customer").where("c_custkey % 10 < 4").select(
-        F.concat(F.lit("T"), (F.col("c_custkey") % 10 + F.when(F.col("c_custkey") % 7 == 0, 8).otherwise(0)).cast("string")).alias("ticker")
-    )
-    return wanted.distinct()
+    """Tickers numbered like the nations of two regions; some do not exist."""
+    nations = b.table(spark, sf, "nation").where("n_regionkey IN (1, 3)")
+    return nations.select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("ticker"))
 
 
 NAMED = """
-, wanted AS (SELECT DISTINCT 'T' || CAST(c_custkey % 10 + CASE WHEN c_custkey % 7 = 0 THEN 8 ELSE 0 END AS VARCHAR) AS ticker FROM customer WHERE c_custkey % 10 < 4)
+, wanted AS (SELECT 'T' || CAST(n_nationkey AS VARCHAR) AS ticker FROM nation WHERE n_regionkey IN (1, 3))
 """
 
 

@@ -15,7 +15,7 @@ from tapewatch.schemas import RAW_NAMES
 FEATURES = ["order_price", "order_qty", "bid1", "ask1", "spread", "delta_mid"]
 
 
-def exchange_files(spark, sf, days: str = "2024010"):
+def exchange_files(spark, sf):
     """Raw orders as the exchange delivers them: one GBK file per ticker-day, in mixed column orders."""
     base = scratch_path(spark, "exchange")
     back = {name: source for source, name in RAW_NAMES.items()}
@@ -237,11 +237,11 @@ def q4_stability(spark, sf):
 
 @query("U2_union_of_days_and_tables", """
 SELECT trade_date, count(*) AS rows, count(predicted_proba) AS scored FROM (
-  SELECT trade_date, predicted_proba FROM pep UNION ALL SELECT trade_date, NULL FROM tk WHERE ticker = 'T1') GROUP BY trade_date
+  SELECT trade_date, predicted_proba FROM pep UNION ALL SELECT trade_date, NULL FROM tk) GROUP BY trade_date
 """)
 def u2(spark, sf):
     other = scratch_path(spark, "table")
-    tables.write_daily(b.tk(spark, sf).where("ticker = 'T1'").select("trade_date", "ticker", "order_id", "order_ts"), other)
+    tables.write_daily(b.tk(spark, sf).select("trade_date", "ticker", "order_id", "order_ts"), other)
     both = tables.read_table(spark, [stored_stream(spark, sf), other])
     return both.groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"), F.count("predicted_proba").alias("scored"))
 
