@@ -58,16 +58,19 @@ def micros_of_day(ts: Column) -> Column:
     return F.pmod(micros(ts), F.lit(DAY))
 
 
+def _left_padded(text: Column, width: int) -> Column:
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def tick_time(date: Column, time: Column) -> Column:
-    """Exchange date and HHMMSS+fraction text as a timestamp; null when either is malformed."""
-    day = F.when(F.length(date) < 8, F.lpad(date, 8, "0")).otherwise(date)
-    tod = F.when(F.length(time) < 9, F.lpad(time, 9, "0")).otherwise(time)
-    spelled = F.concat(
-        day, F.lit(" "), F.substring(tod, 1, 6), F.lit("."), F.rpad(F.substring(tod, 7, 6), 6, "0")
-    )
-    wellformed = day.rlike("^[0-9]{8}$") & tod.rlike("^[0-9]{9,12}$")
-    parsed = F.try_to_timestamp(spelled, F.lit("yyyyMMdd HHmmss.SSSSSS"))
-    return F.when(wellformed, parsed).cast("timestamp_ntz")
+    """Exchange date and HHMMSS+fraction text as a timestamp; null when either is malformed.
+
+    Both texts may have lost leading zeros. Written as one parse of one text: a filter on the result
+    is evaluated on the text again, so the expression has to stay small.
+    """
+    padded = _left_padded(time, 9)
+    spelled = F.concat(_left_padded(date, 8), F.lit(" "), F.rpad(padded, F.greatest(F.lit(12), F.length(time)), F.lit("0")))
+    return F.try_to_timestamp(spelled, F.lit("yyyyMMdd HHmmssSSSSSS")).cast("timestamp_ntz")
 
 
 def text_time(text: Column) -> Column:
@@ -76,8 +79,12 @@ def text_time(text: Column) -> Column:
 
 
 def in_trading_hours(ts: Column) -> Column:
-    tod = micros_of_day(ts)
-    return tod.between(MORNING_OPEN, MORNING_CLOSE) | tod.between(AFTERNOON_OPEN, AFTERNOON_CLOSE)
+    """In a continuous session. The time of day is bound once, as a lambda's argument: in a filter over a
+    parsed time, four comparisons would mean four parses."""
+    return F.exists(
+        F.array(micros_of_day(ts)),
+        lambda tod: tod.between(MORNING_OPEN, MORNING_CLOSE) | tod.between(AFTERNOON_OPEN, AFTERNOON_CLOSE),
+    )
 
 
 def flag(condition: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.functions.times import from_micros, micros
@@ -20,6 +20,11 @@ def first_quotes(quotes: DataFrame, keys: Sequence[str] = TICKER_DAY, order: Seq
     return chosen.drop(*order)
 
 
+def _spread(rows: DataFrame) -> Column:
+    """Tells orders of one instant apart, so that even those can be cut into several tasks' shares."""
+    return F.hash(*rows.columns).alias("_tie")
+
+
 def with_quotes(
     orders: DataFrame,
     quotes: DataFrame,
@@ -55,15 +60,16 @@ def with_quotes(
         *keys,
         F.col("_probe").alias("_us"),
         F.lit(1).alias("_kind"),
+        _spread(orders),
         F.struct(*orders.columns, F.coalesce(matched, F.lit(False)).alias("_matched")).alias("_order"),
     )
     quote_rows = quotes.select(
-        *keys, quote_us.alias("_us"), F.lit(0).alias("_kind"), F.struct(*values).alias("_quote")
+        *keys, quote_us.alias("_us"), F.lit(0).alias("_kind"), F.lit(0).alias("_tie"), F.struct(*values).alias("_quote")
     )
     timeline = quote_rows.unionByName(order_rows, allowMissingColumns=True)
     if groups is None:
         groups = measure_groups(orders.select(*keys).unionByName(quotes.select(*keys)), keys)
-    seen = last_known(timeline, keys, ["_us", "_kind"], {"_seen": F.col("_quote")}, groups)
+    seen = last_known(timeline, keys, ["_us", "_kind", "_tie"], {"_seen": F.col("_quote")}, groups)
     found = seen.where(F.col("_order").isNotNull())
     is_match = F.col("_order._matched")
     return found.select(
@@ -84,14 +90,22 @@ def with_latest(
     """The last row of ``line`` at or before each order, unless older than ``tolerance_us``."""
     keys = list(keys)
     here = rows.select(
-        *keys, micros(F.col("order_ts")).alias("_us"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row")
+        *keys,
+        micros(F.col("order_ts")).alias("_us"),
+        F.lit(1).alias("_kind"),
+        _spread(rows),
+        F.struct(*rows.columns).alias("_row"),
     )
     there = line.select(
-        *keys, micros(F.col("quote_ts")).alias("_us"), F.lit(0).alias("_kind"), F.struct("quote_ts", *values).alias("_point")
+        *keys,
+        micros(F.col("quote_ts")).alias("_us"),
+        F.lit(0).alias("_kind"),
+        F.lit(0).alias("_tie"),
+        F.struct("quote_ts", *values).alias("_point"),
     )
     groups = groups or measure_groups(rows.select(*keys).unionByName(line.select(*keys)), keys)
     timeline = there.unionByName(here, allowMissingColumns=True)
-    seen = last_known(timeline, keys, ["_us", "_kind"], {"_seen": F.col("_point")}, groups)
+    seen = last_known(timeline, keys, ["_us", "_kind", "_tie"], {"_seen": F.col("_point")}, groups)
     found = seen.where(F.col("_row").isNotNull())
     recent = F.col("_us") - micros(F.col("_seen.quote_ts")) <= tolerance_us
     return found.select(

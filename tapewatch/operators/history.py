@@ -126,12 +126,9 @@ def ranks(
         # ranks depend on the value only: count equal values, accumulate, look the rank up
         for c in columns:
             counted = frame.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_times"))
-            upto = running_totals(counted, keys, [F.col(c)], {"_upto": F.col("_times")})
-            size = upto.groupBy(*keys).agg(F.max("_upto").alias("_size"))
+            upto = running_totals(counted, keys, [F.col(c)], {"_upto": F.col("_times")}, {"_size": "_upto"})
             mean_rank = F.col("_upto") - (F.col("_times") - 1) / 2.0
-            shares = join_on(upto, small_side(size), keys, "inner").select(
-                *keys, c, (mean_rank / F.col("_size")).alias(f"{c}_rank")
-            )
+            shares = upto.select(*keys, c, (mean_rank / F.col("_size")).alias(f"{c}_rank"))
             frame = join_on(frame, shares, [*keys, c], "left")
         return frame.select(*df.columns, *names)
 

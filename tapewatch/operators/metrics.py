@@ -35,13 +35,13 @@ def score_steps(df: DataFrame, groups: Sequence[str] = (), score: str = SCORE, l
         .groupBy(*keys, F.col(score).alias("score"))
         .agg(F.count(F.lit(1)).alias("rows"), F.sum(is_positive).alias("positives"))
     )
-    steps = running_totals(
-        counted, keys, [F.col("score").desc()], {"rows_upto": F.col("rows"), "positives_upto": F.col("positives")}
+    return running_totals(
+        counted,
+        keys,
+        [F.col("score").desc()],
+        {"rows_upto": F.col("rows"), "positives_upto": F.col("positives")},
+        {"all_rows": "rows_upto", "all_positives": "positives_upto"},
     )
-    totals = steps.groupBy(*keys).agg(
-        F.max("rows_upto").alias("all_rows"), F.max("positives_upto").alias("all_positives")
-    )
-    return join_on(steps, small_side(totals), keys, "inner")
 
 
 def ranking_quality(df: DataFrame, groups: Sequence[str] = (), score: str = SCORE, label: str = LABEL) -> DataFrame:

@@ -67,12 +67,14 @@ class Groups:
         return done if big is None else done.unionByName(large(big))
 
 
-def measure_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS) -> Groups:
+def measure_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Groups:
     """Count rows per group and note the large ones; one small action.
 
-    The limit grows with the table so that at most LARGE_GROUPS groups can exceed it.
+    The limit is the session's ``tapewatch.groupRows`` unless given. It grows with the table, so
+    that at most LARGE_GROUPS groups can exceed it.
     """
     keys = list(keys)
+    limit = limit or int(df.sparkSession.conf.get("tapewatch.groupRows", str(GROUP_ROWS)))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, biggest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(limit, -(-(total or 0) // LARGE_GROUPS))
@@ -107,18 +109,26 @@ def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], marker:
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    sums: dict[str, Column],
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums within each group; ``order`` must be unique within a group."""
+    """Inclusive running sums within each group; ``order`` must be unique within a group.
+
+    ``totals`` maps further columns to the name of the sum whose group total they hold.
+    """
+    totals = totals or {}
     parts = {f"_part_{name}": value for name, value in sums.items()}
     rows, split = _stretches(df.withColumns(parts), keys, order)
-    so_far = (
-        Window.partitionBy("_stretch", *keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    ordered = Window.partitionBy("_stretch", *keys).orderBy(*order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({name: F.sum(f"_part_{name}").over(so_far) for name in sums})
-    if split:
+    if not split:
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = out.withColumns({t: F.sum(f"_part_{name}").over(whole) for t, name in totals.items()})
+    else:
         per_stretch = rows.groupBy(*keys, "_stretch").agg(
             F.count(F.lit(1)).alias("_seen"), *[F.sum(p).alias(p) for p in parts]
         )
@@ -131,7 +141,10 @@ def running_totals(
         )
         out = _with_carry(out, carry, keys, "_carried")
         out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_from_{n}"), F.lit(0)) for n in sums})
-    return out.select(*df.columns, *sums)
+        if totals:
+            whole = per_stretch.groupBy(*keys).agg(*[F.sum(f"_part_{n}").alias(t) for t, n in totals.items()])
+            out = join_on(out, small_side(whole), keys, "inner")
+    return out.select(*df.columns, *sums, *totals)
 
 
 def last_known(
@@ -316,9 +329,7 @@ def exact_quantiles(
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities).drop("_all")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
-    placed = running_totals(counted, keys, [F.col(value)], {"_upto": F.col("_times")})
-    size = placed.groupBy(*keys).agg(F.max("_upto").alias("_size"))
-    sized = join_on(placed, small_side(size), keys, "inner")
+    sized = running_totals(counted, keys, [F.col(value)], {"_upto": F.col("_times")}, {"_size": "_upto"})
     picks = []
     for name, p in probabilities.items():
         spot = (F.col("_size") - 1) * F.lit(p)

@@ -45,10 +45,12 @@ def event_stream(
     tolerance_us: int = GRID_US,
 ) -> DataFrame:
     """One row per order: its first event, the quote it met, survival time and basic features."""
+    # every order yields at most one row, so the inputs bound the size of a ticker-day
+    groups = measure_groups(orders.select(*TICKER_DAY).unionByName(quotes.select(*TICKER_DAY)), TICKER_DAY)
     if trading_hours_only:
         orders = in_hours(orders)
     joined = orders_with_events(orders, events)
-    quoted = with_quotes(joined, quotes, grid_us=grid_us, tolerance_us=tolerance_us)
+    quoted = with_quotes(joined, quotes, grid_us=grid_us, tolerance_us=tolerance_us, groups=groups)
     survived = quoted.withColumn("survival_ms", survival_ms(F.col("order_ts"), F.col("event_ts")))
     full = with_session_features(with_order_features(survived))
     return full.select(*[F.col(f.name) for f in EVENT_STREAM.fields if f.name in full.columns])

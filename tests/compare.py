@@ -77,6 +77,7 @@ def session():
             "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
             "spark.sql.adaptive.coalescePartitions.enabled": os.environ.get("COALESCE", "true"),
             "spark.driver.host": "localhost",
+            "tapewatch.groupRows": os.environ.get("GROUP_ROWS", "2000000"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
