@@ -21,6 +21,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(configure(spark), sf_dir)
 
+        run.family = build.__module__.rpartition(".")[2]
         QUERIES[name] = run
         if sql is not None:
             SQL[name] = f"WITH {CTES} {sql.strip()}"

@@ -26,10 +26,14 @@ def resolved_order_time(columns: Sequence[str]) -> Column:
 
 
 def line_time(date: Column, time: Column) -> Column:
-    """Market file times: HHMMSS and a fraction, padded to eight digits, or to nine with milliseconds."""
-    padded = F.when(F.length(time) < 8, F.lpad(time, 8, "0")).otherwise(time)
-    fraction = F.rpad(F.substring(padded, 7, 6), 6, "0")
-    return tick_time(date, F.concat(F.substring(padded, 1, 6), fraction))
+    """Market file times: HHMMSS and a fraction of two digits or more, leading zeros possibly lost.
+
+    Eight digits are HHMMSS and hundredths, unless that hour does not exist: then they are
+    nine-digit milliseconds without their leading zero.
+    """
+    padded = F.lpad(time, F.greatest(F.lit(8), F.length(time)), F.lit("0"))
+    whole = F.when((F.length(padded) == 8) & (F.substring(padded, 1, 2) > "23"), F.lpad(padded, 9, "0")).otherwise(padded)
+    return tick_time(date, F.rpad(whole, F.greatest(F.lit(12), F.length(whole)), F.lit("0")))
 
 
 def price_line(

@@ -87,7 +87,7 @@ def test_rolling_counts_equal_pandas(spark, group_rows, seed):
     for name, window in (("orders_100ms", "100ms"), ("orders_1s", "1s")):
         parts = []
         for _, mine in frame.sort_values("order_ts").groupby("ticker"):
-            counts = mine.assign(one=1.0).rolling(window, on="order_ts", closed="left").one.count()
+            counts = mine.assign(one=1.0).rolling(window, on="order_ts", closed="left").one.count().fillna(0)
             # rows of the same instant must not see each other
             mine = mine.assign(n=counts.to_numpy())
             mine["n"] = mine.groupby("order_ts").n.transform("min")
