@@ -67,15 +67,18 @@ class Groups:
         return done if big is None else done.unionByName(large(big))
 
 
-def measure_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Groups:
+def measure_groups(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, rows: str | None = None
+) -> Groups:
     """Count rows per group and note the large ones; one small action.
 
-    The limit is the session's ``tapewatch.groupRows`` unless given. It grows with the table, so
+    ``rows`` names a column with (an upper bound of) row numbers to add up instead of counting, for
+    when they are known without reading the table. The limit is the session's ``tapewatch.groupRows`` unless given. It grows with the table, so
     that at most LARGE_GROUPS groups can exceed it.
     """
     keys = list(keys)
     limit = limit or int(df.sparkSession.conf.get("tapewatch.groupRows", str(GROUP_ROWS)))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.groupBy(*keys).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("_rows"))
     total, biggest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(limit, -(-(total or 0) // LARGE_GROUPS))
     if (biggest or 0) <= limit:

@@ -28,7 +28,7 @@ from tapewatch.operators.history import (
 )
 from tapewatch.operators.labels import label_orders
 from tapewatch.operators.leakage import feature_table, label_table
-from tapewatch.operators.ordered import measure_groups
+from tapewatch.operators.ordered import Groups, measure_groups
 from tapewatch.operators.rolling import WINDOWS, history_counts, order_counts
 from tapewatch.plans.reports import event_stream_summary, label_summary
 from tapewatch.schemas import EVENT_STREAM, TICKER_DAY
@@ -43,10 +43,12 @@ def event_stream(
     trading_hours_only: bool = True,
     grid_us: int = GRID_US,
     tolerance_us: int = GRID_US,
+    groups: Groups | None = None,
 ) -> DataFrame:
     """One row per order: its first event, the quote it met, survival time and basic features."""
-    # every order yields at most one row, so the inputs bound the size of a ticker-day
-    groups = measure_groups(orders.select(*TICKER_DAY).unionByName(quotes.select(*TICKER_DAY)), TICKER_DAY)
+    if groups is None:
+        # every order yields at most one row, so the inputs bound the size of a ticker-day
+        groups = measure_groups(orders.select(*TICKER_DAY).unionByName(quotes.select(*TICKER_DAY)), TICKER_DAY)
     if trading_hours_only:
         orders = in_hours(orders)
     joined = orders_with_events(orders, events)
@@ -92,11 +94,12 @@ def enriched(df: DataFrame, by: Sequence[str] = ("split", "ticker")) -> DataFram
         fixed, {"order_imbalance": fx.order_imbalance(df.columns), **fx.quote_level_flags()}
     )
     groups = measure_groups(df, keys)
-    wide = trailing_deviation(fixed, keys, groups=groups)
+    # group statistics first: they are read from the table itself, not from the windows below
+    wide = standard_scores(fixed, keys)
+    wide = trailing_deviation(wide, keys, groups=groups)
     wide = momentum(wide, keys, groups=groups)
     wide = earlier_means(wide, keys, groups=groups)
     wide = ranks(wide, keys, groups=groups)
-    wide = standard_scores(wide, keys)
     known = fx.interaction_columns()
     if "cancels_5s" not in present:
         known.pop("orders_cancels_ratio")
@@ -113,7 +116,9 @@ def run_event_stream(spark: SparkSession, base: str, out: str, trading_hours_onl
     """Raw files to the event-stream table, all days at once; returns the per-day statistics."""
     configure(spark)
     orders, events, quotes = raw_csv.read_ticks(spark, base, **source)
-    tables.write_daily(event_stream(orders, events, quotes, trading_hours_only), out)
+    where = {k: source[k] for k in ("dates", "tickers") if k in source}
+    groups = measure_groups(raw_csv.row_bounds(spark, base, **where), TICKER_DAY, rows="rows_at_most")
+    tables.write_daily(event_stream(orders, events, quotes, trading_hours_only, groups=groups), out)
     return event_stream_summary(tables.read_table(spark, out))
 
 

@@ -28,6 +28,8 @@ from tapewatch.schemas import (
 DEFAULT_ENCODING = "gbk"
 # Header variants of one table; more than this means the folder holds something else.
 MAX_LAYOUTS = 64
+# A row has at least a date, a time and an id or price: no row is shorter than this many bytes.
+SHORTEST_ROW = 20
 # Fixed value: eight digits name a date folder.
 DATE_GLOB = "[0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9]"
 
@@ -177,6 +179,14 @@ def available_days(spark: SparkSession, base: str, file_name: str = ORDER_FILE,
     return files.select(*[c.alias(n) for n, c in _place(F.col("path")).items()]).distinct()
 
 
+def row_bounds(spark: SparkSession, base: str, **where) -> DataFrame:
+    """Upper bound of order and quote rows per ticker-day, from file sizes alone."""
+    paths = [p for name in (ORDER_FILE, QUOTE_FILE) for p in table_paths(spark, base, name, **where)]
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    placed = files.withColumns(_place(F.col("path")))
+    return placed.select("trade_date", "ticker", F.ceil(F.col("length") / SHORTEST_ROW).alias("rows_at_most"))
+
+
 def read_event_stream_csv(
     spark: SparkSession, root: str, dates: Sequence[str] = (), encoding: str = "utf-8"
 ) -> DataFrame:

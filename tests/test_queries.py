@@ -35,7 +35,7 @@ def test_queries_match_sql(spark, catalogue, family):
 
 def test_training_queries_give_rows(spark, catalogue):
     queries, sql, con = catalogue
-    for name in ("ML4_weighted_ensemble", "ML6_parameter_search", "ML7_ML8_saved_model_scoring", "ML9_train_and_evaluate", "T6_feature_importance"):
+    for name in ("ML2_random_forest", "T6_feature_importance"):
         assert queries[name](spark, FOLDER).count() > 0, name
 
 
