@@ -86,15 +86,18 @@ def order_counts(
     windows: dict[str, int] | None = None,
     keys: Sequence[str] = TICKER_DAY,
     groups: Groups | None = None,
+    clock: str | None = None,
 ) -> DataFrame:
     """Orders placed shortly before each order: ``orders_<window>``.
 
     ``keys`` is the ticker-day by default; ``["trade_date"]`` counts across all tickers of a day.
+    ``clock`` names a column with the order time in microseconds, if there is one.
     """
     windows = windows or {w: WINDOWS[w] for w in ("100ms", "1s")}
-    timed = df.withColumn("_us", micros(F.col("order_ts")))
+    timed = df if clock else df.withColumn("_us", micros(F.col("order_ts")))
     ids = [c for c in ("ticker", "order_id") if c not in keys]
-    return rolling_sums(timed, keys, "_us", ids, {"orders": F.lit(1)}, windows, groups).drop("_us")
+    counted = rolling_sums(timed, keys, clock or "_us", ids, {"orders": F.lit(1)}, windows, groups)
+    return counted if clock else counted.drop("_us")
 
 
 def history_counts(

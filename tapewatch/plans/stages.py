@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewatch.functions.times import micros
 from tapewatch.operators import features as fx
 from tapewatch.operators.asof import GRID_US, with_quotes
 from tapewatch.operators.events import (
@@ -68,12 +69,13 @@ def features(stream: DataFrame, extended: bool = True, tickers: list[str] | None
     """Feature table of an event stream: only what was known when the order arrived."""
     stream = restrict(stream, tickers=tickers)
     groups = measure_groups(stream, TICKER_DAY)
-    based = fx.with_base_features(fx.with_book(stream))
-    counted = order_counts(based, groups=groups)
+    based = fx.with_base_features(fx.with_book(stream)).withColumn("_us", micros(F.col("order_ts")))
     if extended:
-        scored = arrival_gap_score(counted, groups=groups)
-        counted = fx.with_order_density(row_changes(scored, groups=groups))
-    return feature_table(counted, extended)
+        # row windows first: their order by (time, id) also serves the time windows, one sort for all
+        order = ("_us", "order_id")
+        based = row_changes(arrival_gap_score(based, order=order, groups=groups), order=order, groups=groups)
+    counted = order_counts(based, groups=groups, clock="_us")
+    return feature_table(fx.with_order_density(counted) if extended else counted, extended)
 
 
 def safe_features(stream: DataFrame) -> DataFrame:

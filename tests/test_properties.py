@@ -171,7 +171,7 @@ def test_threshold_sweep_marks_the_first_best(spark):
     assert list(out.index[out.is_best == 1]) == [int(np.argmax(f1))]
 
 
-def test_features_ignore_the_future(spark):
+def test_features_ignore_the_future(spark, group_rows):
     """No feature of an order changes when everything after it is removed."""
     frame = flow(10).rename(columns={"mid_price": "bid1"}).drop(columns=["spread", "log_qty"])
     frame["ask1"] = frame.bid1 + 0.02
