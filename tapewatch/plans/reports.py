@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.functions import times
 from tapewatch.operators.metrics import LABEL, SCORE, ranking_quality, with_rates
-from tapewatch.operators.ordered import exact_quantiles, join_on, small_side
+from tapewatch.operators.ordered import exact_quantiles, small_side
 
 
 def row_count() -> Column:
@@ -249,7 +249,3 @@ def quality_by_month(df: DataFrame, score: str = SCORE) -> DataFrame:
 def first_rows(df: DataFrame, columns: Sequence[str], order: Sequence[str], n: int = 1000) -> DataFrame:
     """The first n rows by ``order``: a readable sample for a report."""
     return df.select(*columns).orderBy(*order).limit(n)
-
-
-def attach_share(df: DataFrame, keys: Sequence[str], totals: DataFrame) -> DataFrame:
-    return join_on(df, small_side(totals), list(keys), "left")

@@ -25,7 +25,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app_name: str = "tapewatch", master: str | None = None, **settings) -> SparkSession:
-    builder = SparkSession.builder.appName(app_name)
+    # files of a lineage cut go when nothing refers to it any more
+    builder = SparkSession.builder.appName(app_name).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in settings.items():

@@ -30,6 +30,7 @@ DEFAULT_ENCODING = "gbk"
 MAX_LAYOUTS = 64
 # A row has at least a date, a time and an id or price: no row is shorter than this many bytes.
 SHORTEST_ROW = 20
+FILE_POSITION = ("_split_start", "_row_number")
 # Fixed value: eight digits name a date folder.
 DATE_GLOB = "[0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9]"
 
@@ -90,12 +91,13 @@ def read_named(
     names: dict[str, str] = RAW_NAMES,
     mixed_headers: bool = True,
     placed: bool = True,
+    positions: bool = False,
 ) -> DataFrame:
     """All files as text columns selected by name; if ``placed``, with trade date and ticker from the path.
 
     Spark applies one header to all files of a read. With ``mixed_headers`` the header of every file
     is looked at first and files are read per distinct header; without, one header is trusted.
-    Columns a file lacks are null.
+    Columns a file lacks are null. ``positions`` adds columns that order the rows of a file.
     """
     marker = next(source for source, name in names.items() if name in columns)
 
@@ -109,6 +111,10 @@ def read_named(
         picked = [
             (F.col(f"`{sources[c]}`") if c in sources else F.lit(None).cast("string")).alias(c) for c in columns
         ]
+        if positions:
+            # within a file: the split's offset, then the row's number within the split
+            place = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+            picked += [c.alias(n) for c, n in zip(place, FILE_POSITION)]
         return frame.select(*picked, F.col("_metadata.file_path").alias("_path"))
 
     if mixed_headers:
@@ -142,9 +148,9 @@ def read_raw_quotes(spark: SparkSession, base: str, encoding: str = DEFAULT_ENCO
     """Quotes need seven of the file's columns; the others are not parsed. No file, no rows."""
     paths = table_paths(spark, base, QUOTE_FILE, **where)
     if not paths:
-        names = ["trade_date", "ticker", *QUOTE_COLUMNS]
+        names = [*QUOTE_COLUMNS, *FILE_POSITION, "trade_date", "ticker"]
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
-    return read_named(spark, paths, QUOTE_COLUMNS, encoding)
+    return read_named(spark, paths, QUOTE_COLUMNS, encoding, positions=True)
 
 
 def typed_quotes(raw: DataFrame) -> DataFrame:
@@ -153,6 +159,7 @@ def typed_quotes(raw: DataFrame) -> DataFrame:
         "ticker",
         tick_time(F.col("date"), F.col("time")).alias("quote_ts"),
         *[number(F.col(c)).alias(c) for c in QUOTE_VALUES],
+        *[c for c in FILE_POSITION if c in raw.columns],
     )
 
 
@@ -168,7 +175,7 @@ def read_ticks(
     where = {"dates": list(dates), "tickers": list(tickers)}
     orders = timed_orders(read_raw_orders(spark, base, order_encoding, **where))
     events = side_events(read_raw_trades(spark, base, order_encoding, **where))
-    quotes = first_quotes(typed_quotes(read_raw_quotes(spark, base, quote_encoding, **where)))
+    quotes = first_quotes(typed_quotes(read_raw_quotes(spark, base, quote_encoding, **where)), order=FILE_POSITION)
     return orders, events, quotes
 
 

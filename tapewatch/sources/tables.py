@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewatch.operators.selection import text_list
-from tapewatch.schemas import EVENT_STREAM_FILE, EVENT_STREAM_NAMES, METRICS, PREDICTIONS
+from tapewatch.schemas import EVENT_STREAM_NAMES, METRICS, PREDICTIONS
 
 # Where feature and label tables may be found below a root, first match wins.
 FEATURE_FOLDERS = ("features", "features_select")
@@ -87,8 +87,9 @@ def latest_run(metrics: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame
 
 def latest_values(metrics: DataFrame) -> DataFrame:
     """The newest value of every single metric."""
-    by_metric = Window.partitionBy("method", "scope", "ticker", "metric").orderBy(F.col("run_ts").desc())
-    return metrics.withColumn("_n", F.row_number().over(by_metric)).where("_n = 1").drop("_n")
+    return metrics.groupBy("method", "scope", "ticker", "metric").agg(
+        F.max_by("value", "run_ts").alias("value"), F.max("run_ts").alias("run_ts")
+    )
 
 
 # ---------------------------------------------------------------- writers
@@ -141,7 +142,3 @@ def export_event_stream_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -
         .partitionBy("_day")
         .csv(path)
     )
-
-
-def event_stream_file_name() -> str:
-    return EVENT_STREAM_FILE

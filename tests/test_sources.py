@@ -50,10 +50,10 @@ def test_files_to_event_stream(spark, base, tmp_path):
     rows = {r.order_id: r for r in tables.read_table(spark, out).collect()}
     first = rows["1"]
     assert (first.event_type, first.survival_ms, first.event_side) == ("cancel", 40.0, "B")
-    # two quotes share the instant 09:30:00: without a file position the smaller values come first
-    assert (first.bid1, first.quote_ts) == (9.0, datetime(2025, 3, 3, 9, 30))
+    # two quotes share the instant 09:30:00: the first of the file counts
+    assert (first.bid1, first.quote_ts) == (9.9, datetime(2025, 3, 3, 9, 30))
     # 100 ms after the last grid point, which shows the quote before it
-    assert (rows["2"].bid1, rows["2"].order_amount) == (9.0, pytest.approx(2040.0))
+    assert (rows["2"].bid1, rows["2"].order_amount) == (9.9, pytest.approx(2040.0))
     assert rows["5"].order_price is None and rows["5"].bid1 is None
     assert (rows["7"].side, rows["7"].order_qty, rows["7"].order_price, rows["7"].bid1) == ("S", 300.0, 5.5, None)
     everything = stages.run_event_stream(spark, base, str(tmp_path / "all"), trading_hours_only=False)
