@@ -6,10 +6,8 @@ from queries import bindings as b
 from queries.registry import query, r, rounded
 from tapewatch.functions import times
 from tapewatch.operators import asof, events as ev
-from tapewatch.operators.ordered import first_per_key
 from tapewatch.plans.stages import event_stream
 from tapewatch.schemas import KEYS
-from tapewatch.sources.raw_csv import typed_quotes
 
 
 @query("P1_order_id_normalisation", """
