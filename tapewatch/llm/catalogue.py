@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import quality_rules
+from tapewatch.llm import quality_rules, token_counts
 from tapewatch.llm.runtime import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.verdict(bits, "base")).alias("base_failed"),
         quality_rules.verdict(bits).alias("kept"),
     )
+
+
+#: Tokens that a training context holds.
+CONTEXT = 1024
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.prefix_counts(documents(spark, sf_dir))
+    return counted.select(
+        "doc_id",
+        F.col("tokens.n_bytes").alias("n_bytes"),
+        F.col("tokens.n_tokens").alias("n_tokens"),
+        (F.col("tokens.n_tokens") > CONTEXT).alias("over_limit"),
+        token_counts.longest_prefix(F.col("tokens.steps"), F.lit(CONTEXT)).alias("chars_within_limit"),
+    )
