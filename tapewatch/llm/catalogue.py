@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import quality_rules, token_counts
+from tapewatch.llm import quality_rules, token_counts, token_shards
 from tapewatch.llm.runtime import documents, prepare
+from tapewatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +90,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("tokens.n_tokens") > CONTEXT).alias("over_limit"),
         token_counts.longest_prefix(F.col("tokens.steps"), F.lit(CONTEXT)).alias("chars_within_limit"),
     )
+
+
+def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write ``docs`` to a store and give, per document, what its files hold."""
+    store = token_shards.write_tokens(docs, scratch_path(spark, "tokens"))
+    places = token_shards.locate(store, token_shards.keys_of(spark, store))
+    checked = token_shards.read_ids(spark, store, places, lambda ids: (crc32(ids.astype("<u4").tobytes()),), "ids_crc32 long")
+    return checked.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op2_token_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(spark, documents(spark, sf_dir))

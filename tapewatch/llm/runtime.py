@@ -22,8 +22,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
-    # few rows a batch: one text may be as long as many others together
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    # batches for Python end at either bound: one text may be as long as thousands of others
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
@@ -41,5 +42,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def file_system(folder: str):
+    """The file system of a shared folder and the path in it, for files that are not Spark's own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
