@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from zlib import crc32
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import quality_rules, token_counts, token_shards
+from tapewatch.llm import personal_data, quality_rules, secret_scan, token_counts, token_shards
 from tapewatch.llm.runtime import documents, prepare
 from tapewatch.session import scratch_path
 
@@ -103,3 +103,23 @@ def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op2_token_shards")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(spark, documents(spark, sf_dir))
+
+
+def span_digest(spans: Column, base_kinds: tuple[str, ...]) -> list[Column]:
+    """Counts of the base kinds, the hash over base spans, and all spans as text."""
+    joined = lambda part: F.array_join(F.transform(part, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(spans, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in base_kinds]
+    base = F.filter(spans, lambda s: s["kind"].isin(*base_kinds))
+    return [*counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")]
+
+
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", *span_digest(F.col("personal"), personal_data.BASE_KINDS))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", *span_digest(F.col("spans"), secret_scan.BASE_KINDS))
