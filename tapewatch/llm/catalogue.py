@@ -108,7 +108,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_digest(spans: Column, base_kinds: tuple[str, ...]) -> list[Column]:
     """Counts of the base kinds, the hash over base spans, and all spans as text."""
     joined = lambda part: F.array_join(F.transform(part, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(spans, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in base_kinds]
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in base_kinds]
     base = F.filter(spans, lambda s: s["kind"].isin(*base_kinds))
     return [*counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")]
 
