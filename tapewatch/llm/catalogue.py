@@ -8,9 +8,9 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import personal_data, quality_rules, secret_scan, token_counts, token_shards
+from tapewatch.llm import personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
 from tapewatch.llm.runtime import documents, prepare
-from tapewatch.session import scratch_path
+from tapewatch.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,3 +124,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(documents(spark, sf_dir))
     return found.select("doc_id", *span_digest(F.col("spans"), secret_scan.BASE_KINDS))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = simhash.fingerprints(documents(spark, sf_dir), size=3).select("doc_id", "fingerprint")
+    found = simhash.near_duplicates(staged(prints), "doc_id")
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
