@@ -8,7 +8,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
+from tapewatch.llm import decontaminate, personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
 from tapewatch.llm.runtime import documents, prepare
 from tapewatch.session import scratch_path, staged
 
@@ -132,3 +132,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(staged(prints), "doc_id")
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
