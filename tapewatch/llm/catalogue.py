@@ -8,7 +8,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import decontaminate, personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
+from tapewatch.llm import decontaminate, mixing, personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
 from tapewatch.llm.runtime import documents, prepare
 from tapewatch.session import scratch_path, staged
 
@@ -141,3 +141,40 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontaminate")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def _mixing_sql() -> str:
+    """The rounds of the fitting, one table expression each."""
+    steps = []
+    now = "r0"
+    for k in range(mixing.ROUNDS):
+        for d in mixing.POWERS:
+            new = f"r{k + 1}_{d}"
+            steps.append(
+                f"{new} AS (SELECT c.* REPLACE (c.factor * CASE WHEN s.now > 0 THEN coalesce(t.share, 0) * (SELECT sum(n_tokens) FROM cells) / s.now ELSE 1 END AS factor) "
+                f"FROM {now} c JOIN (SELECT {d}, sum(n_tokens * factor) AS now FROM {now} GROUP BY 1) s ON c.{d} = s.{d} LEFT JOIN target_{d} t ON c.{d} = t.{d})"
+            )
+            now = new
+    targets = [
+        f"target_{d} AS (SELECT {d}, pow(n, {power}) / (sum(pow(n, {power})) OVER ()) AS share FROM (SELECT {d}, sum(n_tokens) AS n FROM cells GROUP BY 1) WHERE n > 0)"
+        for d, power in mixing.POWERS.items()
+    ]
+    return f"""
+WITH counted AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS body,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_tokens FROM documents),
+d AS (SELECT doc_id, source, lang, n_tokens::BIGINT AS n_tokens, CASE WHEN 10 * (length(body) - length(replace(body, '|', ''))) > n_tokens THEN 'table'
+    WHEN n_tokens < 128 THEN 'short' WHEN n_tokens < 1024 THEN 'medium' ELSE 'long' END AS topic FROM counted),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n_tokens FROM d GROUP BY 1, 2, 3),
+r0 AS (SELECT *, 1.0::DOUBLE AS factor FROM cells),
+{", ".join(targets)},
+{", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)},
+p AS (SELECT *, least(factor / (SELECT max(factor) FROM {now} WHERE n_tokens > 0), 1.0) AS probability FROM {now})
+SELECT d.doc_id, d.n_tokens, round(p.probability, 6) AS probability,
+  ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 13))::BIGINT / pow(16, 13) < p.probability AS kept
+FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
+
+
+@query("op8_mixing", _mixing_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(mixing.described(documents(spark, sf_dir)))
+    return found.select("doc_id", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
