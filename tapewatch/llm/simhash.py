@@ -177,7 +177,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, key: str, max_bits: int = MAX_BITS) -> DataFrame:
-    """``prints`` (``key``, ``fingerprint``) with ``component_id``, the smallest key that links reach."""
+    """``prints`` with ``root``, the fingerprint that names its component, and ``component_id``, the smallest ``key`` in it."""
     nodes = prints.groupBy("fingerprint").agg(F.min(key).alias("smallest"))
     nodes = staged(nodes)
     found = connected(links(nodes, max_bits))
@@ -186,5 +186,5 @@ def near_duplicates(prints: DataFrame, key: str, max_bits: int = MAX_BITS) -> Da
     )
     of_root = rooted.where("root <> fingerprint").groupBy("root").agg(F.min("smallest").alias("of_others"))
     firsts = rooted.where("root = fingerprint").join(of_root, "root", "left").select("root", F.least("smallest", "of_others").alias("component_id"))
-    named = rooted.select("fingerprint", "root").join(firsts, "root").select("fingerprint", "component_id")
+    named = rooted.select("fingerprint", "root").join(firsts, "root").select("fingerprint", "root", "component_id")
     return prints.join(named, "fingerprint")
