@@ -8,7 +8,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import decontaminate, mixing, personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
+from tapewatch.llm import decontaminate, line_dedup, mixing, personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
 from tapewatch.llm.runtime import documents, prepare
 from tapewatch.session import scratch_path, staged
 
@@ -178,3 +178,18 @@ FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic""
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(mixing.described(documents(spark, sf_dir)))
     return found.select("doc_id", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = line_dedup.summary(line_dedup.repeated_lines(docs))
+    every = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    joined = every.join(found, every["doc_id"].eqNullSafe(found["key"]) & (every["digest"] == found["digest"]), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return joined.select(
+        every["doc_id"],
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.size(removed).cast("long").alias("n_removed"),
+        F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"),
+    )
