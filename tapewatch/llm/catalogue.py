@@ -8,7 +8,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import decontaminate, line_dedup, mixing, personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
+from tapewatch.llm import decontaminate, license_scan, line_dedup, mixing, personal_data, quality_rules, secret_scan, simhash, token_counts, token_shards
 from tapewatch.llm.runtime import documents, prepare
 from tapewatch.session import scratch_path, staged
 
@@ -193,3 +193,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(removed).cast("long").alias("n_removed"),
         F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"),
     )
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(documents(spark, sf_dir))
+    spans = F.transform("licenses", lambda s: F.concat_ws(":", s["license"], s["start"], s["end"]))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda s: s["license"]))), ",").alias("licenses"),
+        F.array_join(spans, ",").alias("spans"),
+    )
