@@ -13,8 +13,12 @@ token, as the library does by default; a text of any length is counted whole.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.llm.runtime import text_of
-from tapewatch.llm.tokenizing import WHITE, Remembered, load, units
+from tapewatch.llm.tokenizing import LETTERS, WHITE, Remembered, load, units
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Token pairs whose compatibility one Python worker remembers.
@@ -30,6 +34,8 @@ REMEMBERED_PAIRS = 500_000
 #: Pieces that are cut differently while only their first two characters are there.
 LATE_PIECES = ("'re", "'ve", "'ll")
 
+_ONE_PIECE = re.compile(rf" ?[{LETTERS}]+").fullmatch
+
 
 class PrefixCounter:
     """Steps of the token count, one signed byte per character, for whole texts."""
@@ -41,43 +47,47 @@ class PrefixCounter:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = _byte_alphabet()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memory = Remembered(lambda new: [np.diff(self.unit(u), prepend=0).astype(np.int8).tobytes() for u in new])
+        self.memory = Remembered(lambda new: [array("b", map(sub, counts := self.unit(u), [0, *counts])).tobytes() for u in new])
 
     def steps(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(parts) for parts in self.memory.of(texts)]
+        return [b"".join(self.memory.of(text)) for text in texts]
 
     def may_follow(self, left: str, right: str) -> bool:
         """Whether the two tokens stay as they are when merged side by side."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= REMEMBERED_PAIRS:
-                self.pairs.clear()
-            found = [t.value for t in self.tokenizer.model.tokenize(left + right)] == [left, right]
-            self.pairs[left, right] = found
+        if len(self.pairs) >= REMEMBERED_PAIRS:
+            self.pairs.clear()
+        found = [t.value for t in self.tokenizer.model.tokenize(left + right)] == [left, right]
+        self.pairs[left, right] = found
         return found
 
     def piece(self, piece: str) -> list[int]:
         """The count after each character of one piece."""
         raw = piece.encode()
         mapped = raw.decode("latin-1").translate(self.alphabet)
+        vocabulary, pairs, longest = self.vocabulary, self.pairs, self.longest
         counts, last = [0], [""]
         for end in range(1, len(mapped) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                token = mapped[end - size : end]
-                if token in self.vocabulary and (size == end or self.may_follow(last[end - size], token)):
-                    break
-            counts.append(counts[end - size] + 1)
+            for start in range(max(0, end - longest), end):
+                token = mapped[start:end]
+                if token in vocabulary:
+                    if not start:
+                        break
+                    fits = pairs.get((last[start], token))
+                    if fits or (fits is None and self.may_follow(last[start], token)):
+                        break
+            counts.append(counts[start] + 1)
             last.append(token)
         if len(raw) == len(piece):
             return counts[1:]
-        ends = np.cumsum([len(c.encode()) for c in piece])
-        return [counts[e] for e in ends]
+        return [counts[e] for e in accumulate(len(c.encode()) for c in piece)]
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def unit(self, unit: str) -> list[int]:
         """The count after each character of a unit."""
+        if _ONE_PIECE(unit):
+            return self.piece(unit)
         special = min((s for s in self.specials if s in unit), key=unit.index, default=None)
         if special is not None:
             return self.with_special(unit, special)

@@ -7,6 +7,7 @@ where pieces always end, so a unit's ids depend on nothing around it and are enc
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,17 @@ WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
 _UNIT = re.compile(rf"[{WHITE}]*+[{LETTERS}]++(?![^\x00-\x7f])|[{WHITE}]*+[^{WHITE}]++|[{WHITE}]++")
 units = _UNIT.findall
+#: Characters whose units are held at a time, and where a long text may be cut: a unit ends there.
+PART = 1 << 18
+_END = re.compile(rf"[^{WHITE}](?=[{WHITE}])")
+
+
+def parts(text: str) -> Iterator[str]:
+    start = 0
+    while len(text) - start > PART and (end := _END.search(text, start + PART)):
+        yield text[start : end.end()]
+        start = end.end()
+    yield text[start:]
 
 
 @lru_cache(maxsize=4)
@@ -29,24 +41,31 @@ def load(name: str) -> Tokenizer:
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-class Remembered(dict):
-    """Results by unit; ``compute`` gives those of a list of new units."""
+class Remembered:
+    """Results by unit; ``compute`` gives those of a list of new units.
+
+    When ``REMEMBERED`` units are held, they become the older half and a new half begins: what is still in use
+    moves over, the rest is forgotten with the next change.
+    """
 
     def __init__(self, compute):
-        super().__init__()
         self.compute = compute
-
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text the results of its units in order."""
-        cut = [units(text) for text in texts]
-        new = set().union(*cut).difference(self)
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = set().union(*cut)
-        if new:
-            new = list(new)
-            self.update(zip(new, self.compute(new)))
-        return [list(map(self.__getitem__, pieces)) for pieces in cut]
+        self.now: dict = {}
+        self.older: dict = {}
+
+    def of(self, text: str) -> Iterator:
+        """The results of a text's units in order."""
+        for part in parts(text):
+            cut = units(part)
+            new = set(cut).difference(self.now)
+            if len(self.now) + len(new) > REMEMBERED:
+                self.older, self.now, new = self.now, {}, set(cut)
+            older = self.older
+            self.now.update((u, older[u]) for u in new if u in older)
+            unknown = [u for u in new if u not in older]
+            if unknown:
+                self.now.update(zip(unknown, self.compute(unknown)))
+            yield from map(self.now.__getitem__, cut)
 
 
 class Encoder:
@@ -62,7 +81,7 @@ class Encoder:
         self.memory = Remembered(encode)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(parts) for parts in self.memory.of(texts)]
+        return [b"".join(self.memory.of(text)) for text in texts]
 
 
 @lru_cache(maxsize=4)
