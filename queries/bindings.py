@@ -78,11 +78,11 @@ raw_orders AS (
     CASE WHEN event_id % 4 = 0 THEN 'B' WHEN event_id % 4 = 1 THEN 'S' WHEN event_id % 4 = 2 THEN '买' ELSE '卖' END AS side,
     CAST(event_id % 900 + 100 AS VARCHAR) AS order_price,
     CASE WHEN event_id % 41 = 0 THEN 'n/a' ELSE CAST(event_id % 13 * 100 AS VARCHAR) END AS order_qty, '0' AS order_type, event_id
-  FROM events WHERE event_type <> 'view'),
+  FROM events),
 raw_trades0 AS (
   SELECT *, ts + to_milliseconds(event_id % 200) AS evt, lpad(CAST(event_id AS VARCHAR), 10, '0') AS mine,
     lpad(CAST(event_id + CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END AS VARCHAR), 10, '0') AS other
-  FROM events WHERE event_type <> 'view'),
+  FROM events),
 raw_trades AS (
   SELECT strftime(ts, '%Y%m%d') AS trade_date, 'T' || CAST(user_id % 10 AS VARCHAR) AS ticker,
     strftime(evt, '%Y%m%d') AS date,
@@ -241,7 +241,7 @@ def _padded(n):
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    e = table(spark, sf_dir, "events")
     side = F.when(n % 4 == 0, "B").when(n % 4 == 1, "S").when(n % 4 == 2, "买").otherwise("卖")
     return e.select(
         *[c.alias(k) for k, c in _placed("ts").items()],
@@ -256,7 +256,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    e = table(spark, sf_dir, "events")
     at = F.timestamp_add("MILLISECOND", n % 200, F.col("ts").cast("timestamp")).cast("timestamp_ntz")
     text = _tick_text(at)
     mine, other = _padded(n), _padded(n + F.when(n % 3 == 0, 1).otherwise(-1))

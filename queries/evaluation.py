@@ -105,7 +105,7 @@ def m5(spark, sf):
 
 
 @query("A11_confusion_by_ticker", """
-SELECT ticker, count(*) FILTER (predicted_proba <= 0.5 AND y_label = 0) AS tn, count(*) FILTER (predicted_proba > 0.5 AND y_label = 0) AS fp,
+SELECT CASE WHEN grouping(ticker) = 1 THEN 'total' ELSE 'ticker' END AS scope, ticker, count(*) FILTER (predicted_proba <= 0.5 AND y_label = 0) AS tn, count(*) FILTER (predicted_proba > 0.5 AND y_label = 0) AS fp,
   count(*) FILTER (predicted_proba <= 0.5 AND y_label = 1) AS fn, count(*) FILTER (predicted_proba > 0.5 AND y_label = 1) AS tp
 FROM pep GROUP BY ROLLUP (ticker)
 """)
@@ -141,7 +141,7 @@ def a13(spark, sf):
 
 
 @query("A13_ticker_rates", """
-, c AS (SELECT ticker, count(*) FILTER (predicted_binary = 0 AND y_label = 0) AS tn, count(*) FILTER (predicted_binary = 1 AND y_label = 0) AS fp,
+, c AS (SELECT CASE WHEN grouping(ticker) = 1 THEN 'total' ELSE 'ticker' END AS scope, ticker, count(*) FILTER (predicted_binary = 0 AND y_label = 0) AS tn, count(*) FILTER (predicted_binary = 1 AND y_label = 0) AS fp,
   count(*) FILTER (predicted_binary = 0 AND y_label = 1) AS fn, count(*) FILTER (predicted_binary = 1 AND y_label = 1) AS tp FROM pep GROUP BY ROLLUP (ticker))
 SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) + 0.0 AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) + 0.0 AS recall FROM c
 """)

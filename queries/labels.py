@@ -49,7 +49,7 @@ def r2(spark, sf):
 
 
 @query("A2_label_summary", f"""
-SELECT trade_date, count(*) AS samples, CAST(sum((survival_ms < {MONTH_MS} AND event_type = 'cancel')::INT) AS BIGINT) AS positives,
+SELECT CASE WHEN grouping(trade_date) = 1 THEN 'total' ELSE 'trade_date' END AS scope, trade_date, count(*) AS samples, CAST(sum((survival_ms < {MONTH_MS} AND event_type = 'cancel')::INT) AS BIGINT) AS positives,
   round(avg((survival_ms < {MONTH_MS} AND event_type = 'cancel')::INT), 6) AS positive_rate
 FROM oe GROUP BY ROLLUP (trade_date)
 """)

@@ -9,9 +9,9 @@ from tapewatch.operators import leakage as lk
 from tapewatch.operators import selection as sel
 from tapewatch.plans import reports, stages
 
-TRAIN, VALID = "2024010|2024011", "2024012"
+TRAIN, VALID = "2024010|2024011", "2024012|2024013"
 SPLIT_SQL = """
-, sp AS (SELECT *, CASE WHEN regexp_matches(trade_date, '2024010|2024011') THEN 'train' WHEN regexp_matches(trade_date, '2024012') THEN 'valid' END AS split FROM pep)
+, sp AS (SELECT *, CASE WHEN regexp_matches(trade_date, '2024010|2024011') THEN 'train' WHEN regexp_matches(trade_date, '2024012|2024013') THEN 'valid' END AS split FROM pep)
 """
 
 
@@ -160,17 +160,22 @@ def l3(spark, sf):
     return kept.groupBy("mid_price", "spread", "delta_mid", "is_buy").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("L4_leakage_classes", """
-SELECT * FROM (VALUES ('order_price', 'observable', 'SAFE'), ('survival_ms', 'future_info', 'HIGH_LEAKAGE'),
-  ('event_type', 'order_outcome', 'HIGH_LEAKAGE'), ('total_qty', 'future_aggregates', 'HIGH_LEAKAGE'),
-  ('orders_100ms', 'historical_stats', 'NEED_CHECK'), ('o_extra', 'other', 'UNKNOWN')) AS t(feature, category, risk_level), 
-  (SELECT count(order_price) AS known FROM tk)
+TICK_COLUMNS = "trade_date ticker order_id order_ts event_ts side event_type order_price order_qty survival_ms bid1 ask1 bid_vol1 ask_vol1 prev_close".split()
+
+
+@query("L4_leakage_classes", f"""
+, n AS (UNPIVOT (SELECT {", ".join(f"count({c}) AS {c}" for c in TICK_COLUMNS)} FROM tk) ON COLUMNS(*) INTO NAME feature VALUE known)
+SELECT feature, CASE WHEN feature IN ('event_ts', 'survival_ms') THEN 'future_info' WHEN feature = 'event_type' THEN 'order_outcome'
+    WHEN feature IN ('trade_date', 'ticker', 'order_id') THEN 'other' ELSE 'observable' END AS category,
+  CASE WHEN feature IN ('event_ts', 'survival_ms', 'event_type') THEN 'HIGH_LEAKAGE' WHEN feature IN ('trade_date', 'ticker', 'order_id') THEN 'UNKNOWN'
+    ELSE 'SAFE' END AS risk_level, known FROM n
 """)
 def l4(spark, sf):
-    columns = ["order_price", "survival_ms", "event_type", "total_qty", "orders_100ms", "o_extra"]
-    known = b.tk(spark, sf).agg(F.count("order_price").alias("known"))
-    risks = lk.risk_table(spark, columns).withColumn("_one", F.lit(1))
-    return risks.join(F.broadcast(known.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Classes of the columns of the tick table, with the rows that know each of them."""
+    ticks = b.tk(spark, sf).select(*TICK_COLUMNS)
+    counts = ticks.agg(*[F.count(c).alias(c) for c in TICK_COLUMNS])
+    known = counts.unpivot([], TICK_COLUMNS, "feature", "known")
+    return lk.risk_table(spark, TICK_COLUMNS).join(known, "feature")
 
 
 @query("L5_clean_for_training", """

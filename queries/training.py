@@ -10,7 +10,7 @@ from tapewatch.plans import models, stages
 from tapewatch.schemas import KEYS
 from tapewatch.session import scratch_path, staged
 
-TRAIN, VALID = "2024010|2024011", "2024012"
+TRAIN, VALID = "2024010|2024011", "2024012|2024013"
 ROUNDS, TREES = 5, 10
 
 
@@ -110,7 +110,7 @@ def a20(spark, sf):
 
 
 @query("ML_split_sizes", """
-, y AS (SELECT trade_date, CASE WHEN regexp_matches(trade_date, '2024010|2024011') THEN 'train' WHEN regexp_matches(trade_date, '2024012') THEN 'valid' END AS split FROM tk)
+, y AS (SELECT trade_date, CASE WHEN regexp_matches(trade_date, '2024010|2024011') THEN 'train' WHEN regexp_matches(trade_date, '2024012|2024013') THEN 'valid' END AS split FROM tk)
 SELECT split, count(*) AS rows, count(DISTINCT trade_date) AS days FROM y WHERE split IS NOT NULL GROUP BY split
 """)
 def split_sizes(spark, sf):

@@ -51,12 +51,13 @@ def ranking_quality(df: DataFrame, groups: Sequence[str] = (), score: str = SCOR
     negatives = F.col("rows") - F.col("positives")
     precision = F.col("positives_upto") / F.col("rows_upto")
     ahead = F.col("positives_upto") - F.col("positives") / 2
-    all_negatives = F.max("all_rows") - F.max("all_positives")
+    # pairs of a positive and a negative row are more than a long holds
+    pairs = F.max("all_positives").cast("double") * (F.max("all_rows") - F.max("all_positives"))
     quality = steps.groupBy(*keys).agg(
         F.max("all_rows").alias("samples"),
         F.max("all_positives").alias("positives"),
         F.try_divide(F.sum(F.col("positives") * precision), F.max("all_positives")).alias("pr_auc"),
-        F.try_divide(F.sum(negatives * ahead), F.max("all_positives") * all_negatives).alias("roc_auc"),
+        F.try_divide(F.sum(negatives * ahead), pairs).alias("roc_auc"),
     )
     return quality.drop("_all")
 
@@ -173,7 +174,7 @@ def threshold_sweep(
     cuts = list(thresholds or sweep_thresholds())
     is_positive = F.when(F.col(label) == 1, 1).otherwise(0)
     met = small_side(
-        df.groupBy(_thresholds_met(F.col(score), cuts).alias("met")).agg(
+        df.where(F.col(score).isNotNull()).groupBy(_thresholds_met(F.col(score), cuts).alias("met")).agg(
             F.count(F.lit(1)).alias("rows"), F.sum(is_positive).alias("positives")
         )
     )
@@ -211,7 +212,10 @@ def with_rates(df: DataFrame) -> DataFrame:
 def confusion(
     df: DataFrame, threshold: float = 0.5, group: str | None = None, score: str = SCORE, label: str = LABEL
 ) -> DataFrame:
-    """Confusion counts per group and overall (group null) in one pass."""
+    """Confusion counts per group and overall in one pass; ``scope`` tells the total from a null group.
+
+    Rows without a score are no prediction and are not counted, here and in the threshold sweep.
+    """
     predicted, actual = F.col(score) > threshold, F.col(label) == 1
     counts = [
         F.count_if(~predicted & ~actual).alias("tn"),
@@ -219,7 +223,14 @@ def confusion(
         F.count_if(~predicted & actual).alias("fn"),
         F.count_if(predicted & actual).alias("tp"),
     ]
-    return df.rollup(group).agg(*counts) if group else df.agg(*counts)
+    scored = df.where(F.col(score).isNotNull())
+    if not group:
+        return scored.agg(*counts)
+    return scored.rollup(group).agg(scope_of(group), *counts)
+
+
+def scope_of(group: str) -> Column:
+    return F.when(F.grouping(group) == 1, "total").otherwise(group).alias("scope")
 
 
 def classification_report(df: DataFrame, threshold: float = 0.5, score: str = SCORE, label: str = LABEL) -> DataFrame:

@@ -20,8 +20,6 @@ from tapewatch.session import staged
 
 # Rows of one group that a single task may order by itself.
 GROUP_ROWS = 2_000_000
-# Upper bound on the number of groups treated as large, and so on the table that marks them.
-LARGE_GROUPS = 100_000
 # Rows a side may have to be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -56,8 +54,7 @@ class Groups:
         """Rows of ordinary groups, and rows of large groups (None when there are none)."""
         if self.large is None:
             return df, None
-        marks = F.broadcast(self.large)
-        return join_on(df, marks, self.keys, "left_anti"), join_on(df, marks, self.keys, "left_semi")
+        return join_on(df, self.large, self.keys, "left_anti"), join_on(df, self.large, self.keys, "left_semi")
 
     def each(
         self, df: DataFrame, plain: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]
@@ -73,17 +70,16 @@ def measure_groups(
     """Count rows per group and note the large ones; one small action.
 
     ``rows`` names a column with (an upper bound of) row numbers to add up instead of counting, for
-    when they are known without reading the table. The limit is the session's ``tapewatch.groupRows`` unless given. It grows with the table, so
-    that at most LARGE_GROUPS groups can exceed it.
+    when they are known without reading the table. The limit is the session's ``tapewatch.groupRows``
+    unless given and the same for tables of any size; many large groups are marked by a shuffled join.
     """
     keys = list(keys)
     limit = limit or int(df.sparkSession.conf.get("tapewatch.groupRows", str(GROUP_ROWS)))
     counts = df.groupBy(*keys).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("_rows"))
-    total, biggest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(limit, -(-(total or 0) // LARGE_GROUPS))
+    biggest = counts.agg(F.max("_rows")).first()[0]
     if (biggest or 0) <= limit:
         return Groups(keys, limit)
-    return Groups(keys, limit, staged(counts.where(F.col("_rows") > limit).select(*keys)))
+    return Groups(keys, limit, small_side(counts.where(F.col("_rows") > limit).select(*keys)))
 
 
 def _stretches(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, bool]:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tapewatch.functions.numbers import ratio, zero_if_null
 from tapewatch.functions.times import SECOND, flag, micros
-from tapewatch.operators.ordered import Groups, join_on, measure_groups, running_totals
+from tapewatch.operators.ordered import Groups, measure_groups, running_totals
 from tapewatch.schemas import TICKER_DAY
+from tapewatch.session import staged
 
 # The look-back windows, in microseconds.
 WINDOWS = {"100ms": SECOND // 10, "1s": SECOND, "5s": 5 * SECOND}
@@ -20,7 +21,6 @@ def rolling_sums(
     df: DataFrame,
     keys: Sequence[str],
     clock: str,
-    row_id: Sequence[str],
     amounts: dict[str, Column],
     windows: dict[str, int],
     groups: Groups | None = None,
@@ -28,10 +28,10 @@ def rolling_sums(
     """Sums of whole-number ``amounts`` over rows with clock in [t - w, t).
 
     A window sum is the total before t minus the total before t - w. Both are growing frames over
-    one sort, so the cost does not depend on how many rows a window holds. ``row_id`` identifies a
-    row within its group. Columns are named ``<amount>_<window>``.
+    one sort, so the cost does not depend on how many rows a window holds. Rows need no identity of
+    their own: repeated ones are counted and answered one by one. Columns are named ``<amount>_<window>``.
     """
-    keys, row_id = list(keys), list(row_id)
+    keys = list(keys)
     groups = groups or measure_groups(df, keys)
     names = [f"{a}_{w}" for a in amounts for w in windows]
 
@@ -61,22 +61,24 @@ def rolling_sums(
             ],
         )
         parts = {f"_amount_{a}": value for a, value in amounts.items()}
+        # numbered once and written, so that marks find their way back to the row they came from
+        frame = staged(frame.withColumn("_mark_row", F.monotonically_increasing_id()))
         line = (
             frame.withColumns(parts)
-            .select(*keys, *row_id, *parts, F.explode(marks).alias("_m"))
-            .select(*keys, *row_id, *parts, "_m.*")
+            .select(*keys, "_mark_row", *parts, F.explode(marks).alias("_m"))
+            .select(*keys, "_mark_row", *parts, "_m.*")
         )
         adds = {f"_sum_{a}": F.when(F.col("mark") == "self", F.col(f"_amount_{a}")).otherwise(0) for a in amounts}
-        order = [F.col("at"), F.col("turn"), *[F.col(c) for c in row_id], F.col("mark")]
+        order = [F.col("at"), F.col("turn"), F.col("_mark_row"), F.col("mark")]
         totals = running_totals(line, keys, order, adds).where(F.col("mark") != "self")
 
         def total(a: str, w: str) -> Column:
             return F.max(F.when(F.col("mark") == w, F.coalesce(f"_sum_{a}", F.lit(0))))
 
-        read = totals.groupBy(*keys, *row_id).agg(
+        read = totals.groupBy("_mark_row").agg(
             *[(total(a, "now") - total(a, w)).alias(f"{a}_{w}") for a in amounts for w in windows]
         )
-        return join_on(frame, read, [*keys, *row_id], "inner").select(*df.columns, *names)
+        return frame.join(read, "_mark_row").select(*df.columns, *names)
 
     return groups.each(df, plain, large)
 
@@ -95,8 +97,7 @@ def order_counts(
     """
     windows = windows or {w: WINDOWS[w] for w in ("100ms", "1s")}
     timed = df if clock else df.withColumn("_us", micros(F.col("order_ts")))
-    ids = [c for c in ("ticker", "order_id") if c not in keys]
-    counted = rolling_sums(timed, keys, clock or "_us", ids, {"orders": F.lit(1)}, windows, groups)
+    counted = rolling_sums(timed, keys, clock or "_us", {"orders": F.lit(1)}, windows, groups)
     return counted if clock else counted.drop("_us")
 
 
@@ -114,7 +115,6 @@ def history_counts(
     """
     windows = windows or WINDOWS
     keys = list(keys)
-    ids = [c for c in ("ticker", "order_id") if c not in keys]
     is_cancel, is_trade = flag(F.col("event_type") == "cancel"), flag(F.col("event_type") == "trade")
     arrival_us, event_us = micros(F.col("order_ts")), micros(F.col("event_ts"))
     flagged = df.withColumns({"past_cancel_flag": is_cancel, "past_trade_flag": is_trade})
@@ -126,12 +126,12 @@ def history_counts(
             "cancels": F.col("past_cancel_flag"),
             "trades": F.col("past_trade_flag"),
         }
-        counted = rolling_sums(line, keys, "_us", ids, amounts, windows, groups)
+        counted = rolling_sums(line, keys, "_us", amounts, windows, groups)
     else:
         columns = [F.col(c) for c in flagged.columns]
         arrivals = flagged.select(*columns, arrival_us.alias("_us"), F.lit(1).alias("_arrival"))
         happened = flagged.where(F.col("event_ts").isNotNull()).select(
-            *keys, *ids, "past_cancel_flag", "past_trade_flag", event_us.alias("_us"), F.lit(0).alias("_arrival")
+            *keys, "past_cancel_flag", "past_trade_flag", event_us.alias("_us"), F.lit(0).alias("_arrival")
         )
         line = arrivals.unionByName(happened, allowMissingColumns=True)
         amounts = {
@@ -139,7 +139,7 @@ def history_counts(
             "cancels": F.when(F.col("_arrival") == 0, F.col("past_cancel_flag")).otherwise(0),
             "trades": F.when(F.col("_arrival") == 0, F.col("past_trade_flag")).otherwise(0),
         }
-        counted = rolling_sums(line, keys, "_us", [*ids, "_arrival"], amounts, windows, groups).where("_arrival = 1")
+        counted = rolling_sums(line, keys, "_us", amounts, windows, groups).where("_arrival = 1")
     ratios = {
         f"cancel_ratio_{w}": zero_if_null(ratio(F.col(f"cancels_{w}"), F.col(f"orders_{w}") + 1e-8)) for w in windows
     }

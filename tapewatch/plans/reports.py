@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.functions import times
-from tapewatch.operators.metrics import LABEL, SCORE, ranking_quality, with_rates
+from tapewatch.operators.metrics import LABEL, SCORE, ranking_quality, scope_of, with_rates
 from tapewatch.operators.ordered import exact_quantiles, small_side
 
 
@@ -30,8 +30,9 @@ def event_stream_summary(stream: DataFrame) -> DataFrame:
 
 
 def label_summary(labels: DataFrame, label: str = LABEL) -> DataFrame:
-    """Samples, positives and their rate per day, and in total (day null)."""
+    """Samples, positives and their rate per day and in total; ``scope`` tells the total from a null day."""
     return labels.rollup("trade_date").agg(
+        scope_of("trade_date"),
         row_count().alias("samples"),
         F.sum(label).alias("positives"),
         rate(F.sum(label), row_count()).alias("positive_rate"),

@@ -76,6 +76,7 @@ KEYS = ("trade_date", "ticker", "order_id")
 TICKER_DAY = ("trade_date", "ticker")
 ROW_ORDER = ("order_ts", "order_id")
 
+# Names of label, raw and derived columns.
 TIME_COLUMNS = ("order_ts", "event_ts")
 LABEL_METADATA = ("order_qty", "side", "order_price", "event_type", "survival_ms")
 BASE_LABELS = ("flag_R1", "flag_R2", "y_label")
@@ -100,6 +101,7 @@ TARGET_LABELS = (
     "enhanced_combined",
 )
 
+# Book levels, and the base, extended and enriched feature sets.
 BOOK_LEVELS = tuple(f"{c}{level}" for level in range(2, 6) for c in ("bid", "ask", "bid_vol", "ask_vol"))
 RAW_FEATURE_COLUMNS = ("order_price", "order_qty", "side", "order_type") + QUOTE_VALUES + BOOK_LEVELS
 BASE_FEATURES = (

@@ -12,6 +12,7 @@ from tapewatch.functions.numbers import number
 from tapewatch.functions.times import tick_time
 from tapewatch.operators.asof import first_quotes
 from tapewatch.operators.events import side_events, timed_orders
+from tapewatch.operators.ordered import small_side
 from tapewatch.schemas import (
     EVENT_STREAM_FILE,
     EVENT_STREAM_NAMES,
@@ -26,8 +27,6 @@ from tapewatch.schemas import (
 )
 
 DEFAULT_ENCODING = "gbk"
-# Header variants of one table; more than this means the folder holds something else.
-MAX_LAYOUTS = 64
 # A row has at least a date, a time and an id or price: no row is shorter than this many bytes.
 SHORTEST_ROW = 20
 FILE_POSITION = ("_split_start", "_row_number")
@@ -69,11 +68,16 @@ def _lines(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFram
     return lines.select("line", F.col("_metadata.file_path").alias("path"))
 
 
+def _names(header: str | Column) -> Column:
+    """Column names of a header line in order, without marks and quotes."""
+    bare = F.regexp_replace(header, "[\ufeff\r]", "")
+    return F.transform(F.split(bare, ","), lambda n: F.trim(F.regexp_replace(F.trim(n), '^"|"$', "")))
+
+
 def header_layouts(spark: SparkSession, paths: Sequence[str], encoding: str, marker: str) -> DataFrame:
-    """Header line of every file: (header, path). ``marker`` is a column name every header contains."""
+    """Column names of every file: (path, header). ``marker`` is a column name every header contains."""
     found = _lines(spark, paths, encoding).where(F.contains(F.col("line"), F.lit(marker)))
-    clean = F.regexp_replace(F.col("line"), "^﻿|\r$", "")
-    return found.select(clean.alias("header"), "path").groupBy("path").agg(F.min("header").alias("header"))
+    return found.groupBy("path").agg(F.min("line").alias("line")).select("path", _names(F.col("line")).alias("header"))
 
 
 def _place(path: Column) -> dict[str, Column]:
@@ -95,62 +99,69 @@ def read_named(
 ) -> DataFrame:
     """All files as text columns selected by name; if ``placed``, with trade date and ticker from the path.
 
-    Spark applies one header to all files of a read. With ``mixed_headers`` the header of every file
-    is looked at first and files are read per distinct header; without, one header is trusted.
+    Spark applies one header to all files of a read, so files are read by position. With ``mixed_headers``
+    the header of every file is found in one pass over the lines and written down; one more pass reads all
+    rows, each with its file's header beside it. Without, the first file's header is trusted, and a file
+    with another one makes the read fail. Of a name that a header repeats the first column counts.
     Columns a file lacks are null. ``positions`` adds columns that order the rows of a file.
     """
     marker = next(source for source, name in names.items() if name in columns)
+    sources = {c: [source for source, name in names.items() if name == c] + [c] for c in columns}
 
-    def read(some: Sequence[str], header: str | None) -> DataFrame:
-        reader = _options(spark, encoding).option("header", True)
-        if header is not None:
-            fields = [name.strip().strip('"') for name in header.split(",")]
-            reader = reader.schema(T.StructType([T.StructField(name or f"_c{i}", T.StringType()) for i, name in enumerate(fields)]))
-        frame = reader.csv(list(some))
-        sources = {names.get(c.lstrip("﻿"), c): c for c in frame.columns}
-        picked = [
-            (F.col(f"`{sources[c]}`") if c in sources else F.lit(None).cast("string")).alias(c) for c in columns
-        ]
-        if positions:
-            # within a file: the split's offset, then the row's number within the split
-            place = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
-            picked += [c.alias(n) for c, n in zip(place, FILE_POSITION)]
-        return frame.select(*picked, F.col("_metadata.file_path").alias("_path"))
+    def reader(fields: Sequence[str], trusted: bool) -> DataFrame:
+        schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+        # a header that repeats a name cannot be compared with a schema
+        loose = not trusted or len(set(fields)) < len(fields)
+        fields_once = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(fields))]) if loose else schema
+        return _options(spark, encoding).option("header", True).option("enforceSchema", loose).schema(fields_once).csv(list(paths))
+
+    place = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    extra = [c.alias(n) for c, n in zip(place, FILE_POSITION)] if positions else []
+    path = F.col("_metadata.file_path").alias("_path")
 
     if mixed_headers:
-        layouts = header_layouts(spark, paths, encoding, marker)
-        headers = [r["header"] for r in layouts.select("header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-        if len(headers) > MAX_LAYOUTS:
-            raise ValueError(f"more than {MAX_LAYOUTS} different headers")
-        if len(headers) == 1:
-            frame = read(paths, headers[0])
-        else:
-            frame = None
-            for header in headers:
-                # the planner lists these files anyway; a path is all that is kept of each
-                files = [r["path"] for r in layouts.where(F.col("header") == header).select("path").collect()]
-                part = read(files, header)
-                frame = part if frame is None else frame.unionByName(part)
+        layouts = small_side(header_layouts(spark, paths, encoding, marker))
+        width = layouts.agg(F.max(F.size("header"))).first()[0] or 1
+        frame = reader([f"_c{i}" for i in range(width)], trusted=False)
+        cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
+        rows = frame.select(cells.alias("_cells"), *extra, path)
+        found = rows.join(layouts.withColumnRenamed("path", "_path"), "_path")
+        places = {c: F.coalesce(*[F.nullif(F.array_position("header", s), F.lit(0)) for s in sources[c]]) for c in columns}
+        picked = [F.get("_cells", (places[c] - 1).cast("int")).alias(c) for c in columns]
+        frame = found.select(*picked, *[n for n in FILE_POSITION if positions], "_path")
     else:
-        frame = read(paths, None)
+        first = _lines(spark, paths[:1], encoding).where(F.contains(F.col("line"), F.lit(marker))).select(_names(F.col("line"))).first()
+        fields = list(first[0]) if first else []
+        frame = reader(fields, trusted=True)
+        places = {c: next((fields.index(s) for s in sources[c] if s in fields), None) for c in columns}
+        picked = [(F.lit(None).cast("string") if places[c] is None else F.col(f"`{frame.columns[places[c]]}`")).alias(c) for c in columns]
+        frame = frame.select(*picked, *extra, path)
     return (frame.withColumns(_place(F.col("_path"))) if placed else frame).drop("_path")
 
 
-def read_raw_orders(spark: SparkSession, base: str, encoding: str = DEFAULT_ENCODING, **where) -> DataFrame:
-    return read_named(spark, table_paths(spark, base, ORDER_FILE, **where), ORDER_COLUMNS, encoding)
+def read_raw_orders(
+    spark: SparkSession, base: str, encoding: str = DEFAULT_ENCODING, mixed_headers: bool = True, **where
+) -> DataFrame:
+    paths = table_paths(spark, base, ORDER_FILE, **where)
+    return read_named(spark, paths, ORDER_COLUMNS, encoding, mixed_headers=mixed_headers)
 
 
-def read_raw_trades(spark: SparkSession, base: str, encoding: str = DEFAULT_ENCODING, **where) -> DataFrame:
-    return read_named(spark, table_paths(spark, base, TRADE_FILE, **where), TRADE_COLUMNS, encoding)
+def read_raw_trades(
+    spark: SparkSession, base: str, encoding: str = DEFAULT_ENCODING, mixed_headers: bool = True, **where
+) -> DataFrame:
+    paths = table_paths(spark, base, TRADE_FILE, **where)
+    return read_named(spark, paths, TRADE_COLUMNS, encoding, mixed_headers=mixed_headers)
 
 
-def read_raw_quotes(spark: SparkSession, base: str, encoding: str = DEFAULT_ENCODING, **where) -> DataFrame:
+def read_raw_quotes(
+    spark: SparkSession, base: str, encoding: str = DEFAULT_ENCODING, mixed_headers: bool = True, **where
+) -> DataFrame:
     """Quotes need seven of the file's columns; the others are not parsed. No file, no rows."""
     paths = table_paths(spark, base, QUOTE_FILE, **where)
     if not paths:
         names = [*QUOTE_COLUMNS, *FILE_POSITION, "trade_date", "ticker"]
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
-    return read_named(spark, paths, QUOTE_COLUMNS, encoding, positions=True)
+    return read_named(spark, paths, QUOTE_COLUMNS, encoding, mixed_headers=mixed_headers, positions=True)
 
 
 def typed_quotes(raw: DataFrame) -> DataFrame:
@@ -170,9 +181,10 @@ def read_ticks(
     quote_encoding: str = DEFAULT_ENCODING,
     dates: Sequence[str] = (),
     tickers: Sequence[str] = (),
+    mixed_headers: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Typed orders, side events and one quote per instant."""
-    where = {"dates": list(dates), "tickers": list(tickers)}
+    where = {"dates": list(dates), "tickers": list(tickers), "mixed_headers": mixed_headers}
     orders = timed_orders(read_raw_orders(spark, base, order_encoding, **where))
     events = side_events(read_raw_trades(spark, base, order_encoding, **where))
     quotes = first_quotes(typed_quotes(read_raw_quotes(spark, base, quote_encoding, **where)), order=FILE_POSITION)

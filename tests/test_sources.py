@@ -132,3 +132,26 @@ def test_checked_input(spark):
         q.checked_input(df, ["b"])
     with pytest.raises(ValueError):
         q.checked_input(df.where("a > 1"), ["a"])
+
+
+def test_repeated_names_and_trusted_headers(spark, tmp_path):
+    one = tmp_path / "base" / "20250303" / "000989.SZ"
+    put(one, ORDER_FILE, "gbk", ORDERS + ",委托价格", "20250303,93000010,1,B,10.0,100,0,99")
+    base = str(tmp_path / "base")
+    for mixed in (True, False):
+        assert [(r.order_price, r.order_qty) for r in raw_csv.read_raw_orders(spark, base, mixed_headers=mixed).collect()] == [("10.0", "100")]
+    plain = tmp_path / "plain" / "20250303"
+    put(plain / "000989.SZ", ORDER_FILE, "gbk", ORDERS, "20250303,93000010,1,B,10.0,100,0")
+    assert raw_csv.read_raw_orders(spark, str(tmp_path / "plain"), mixed_headers=False).first().order_price == "10.0"
+    put(plain / "300233.SZ", ORDER_FILE, "gbk", "自然日,时间,交易所委托号,委托代码,委托数量,委托价格,委托类型", "20250303,93000010,2,B,100,10.5,0")
+    with pytest.raises(Exception, match="(?i)header|conform"):
+        raw_csv.read_raw_orders(spark, str(tmp_path / "plain"), mixed_headers=False).collect()
+    prices = {r.order_price for r in raw_csv.read_raw_orders(spark, str(tmp_path / "plain")).collect()}
+    assert prices == {"10.0", "10.5"}
+
+
+def test_many_header_variants(spark, tmp_path):
+    for k in range(70):
+        put(tmp_path / "base" / "20250303" / f"{k:06d}.SZ", ORDER_FILE, "gbk", f"x{k}," + ORDERS, f"0,20250303,93000010,{k},B,10.0,100,0")
+    rows = raw_csv.read_raw_orders(spark, str(tmp_path / "base")).collect()
+    assert sorted(int(r.order_id) for r in rows) == list(range(70)) and {r.order_price for r in rows} == {"10.0"}
