@@ -217,6 +217,20 @@ def w1(spark, sf):
     return rolling.order_counts(b.tk(spark, sf), hours).select("order_id", "orders_100ms", "orders_1s")
 
 
+REPEATED = "CAST(order_id AS BIGINT) % 50"
+
+
+@query("W1_order_counts_repeated_ids", f"""
+, f AS (SELECT * REPLACE (CAST({REPEATED} AS VARCHAR) AS order_id) FROM tkm)
+SELECT order_id, order_ts, {count_sql('orders_100ms', 1, 'trade_date, ticker')}, {count_sql('orders_1s', 6, 'trade_date, ticker')} FROM f
+""")
+def w1_repeated(spark, sf):
+    """An order id names many rows of a ticker-day, as imported event streams may have it."""
+    hours = {w: HOURS[w] for w in ("100ms", "1s")}
+    repeated = b.tk(spark, sf).withColumn("order_id", F.expr(REPEATED).cast("string"))
+    return rolling.order_counts(repeated, hours).select("order_id", "order_ts", "orders_100ms", "orders_1s")
+
+
 @query("W1_order_counts_across_tickers", f"""
 SELECT order_id, {count_sql('orders_100ms', 1, 'trade_date')}, {count_sql('orders_1s', 6, 'trade_date')} FROM tkm
 """)

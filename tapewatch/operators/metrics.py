@@ -35,6 +35,11 @@ def score_steps(df: DataFrame, groups: Sequence[str] = (), score: str = SCORE, l
         .groupBy(*keys, F.col(score).alias("score"))
         .agg(F.count(F.lit(1)).alias("rows"), F.sum(is_positive).alias("positives"))
     )
+    return with_running_totals(counted, keys)
+
+
+def with_running_totals(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` and ``positives`` per score with their running and group totals."""
     return running_totals(
         counted,
         keys,
@@ -46,20 +51,22 @@ def score_steps(df: DataFrame, groups: Sequence[str] = (), score: str = SCORE, l
 
 def ranking_quality(df: DataFrame, groups: Sequence[str] = (), score: str = SCORE, label: str = LABEL) -> DataFrame:
     """Average precision and area under the ROC curve (ties count half) per group."""
-    steps = score_steps(df, groups, score, label)
     keys = list(groups) or ["_all"]
+    return quality_of_steps(score_steps(df, groups, score, label), keys).drop("_all")
+
+
+def quality_of_steps(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     negatives = F.col("rows") - F.col("positives")
     precision = F.col("positives_upto") / F.col("rows_upto")
     ahead = F.col("positives_upto") - F.col("positives") / 2
     # pairs of a positive and a negative row are more than a long holds
     pairs = F.max("all_positives").cast("double") * (F.max("all_rows") - F.max("all_positives"))
-    quality = steps.groupBy(*keys).agg(
+    return steps.groupBy(*keys).agg(
         F.max("all_rows").alias("samples"),
         F.max("all_positives").alias("positives"),
         F.try_divide(F.sum(F.col("positives") * precision), F.max("all_positives")).alias("pr_auc"),
         F.try_divide(F.sum(negatives * ahead), pairs).alias("roc_auc"),
     )
-    return quality.drop("_all")
 
 
 def top_share_precision(

@@ -95,6 +95,23 @@ def test_rolling_counts_equal_pandas(spark, group_rows, seed):
         close(column(ours, name), pd.concat(parts))
 
 
+def test_rolling_counts_with_repeated_ids_ties_and_nulls(spark, group_rows):
+    frame = flow(3)
+    frame["place"] = range(len(frame))
+    frame["order_id"] = (frame.place % 7).astype(str)
+    times = frame.order_ts.to_numpy()
+    expected = {}
+    for row in frame.itertuples():
+        ahead = (frame.ticker == row.ticker) & (times < np.datetime64(row.order_ts)) & (times >= np.datetime64(row.order_ts - pd.Timedelta("100ms")))
+        expected[row.place] = int(ahead.sum())
+    df = to_spark(spark, frame)
+    ours = rolling.order_counts(df, {"100ms": 100_000})
+    assert {r.place: r.orders_100ms for r in ours.collect()} == expected
+    blank = F.lit(None).cast("string")
+    nulls = df.withColumn("ticker", F.when(F.col("ticker") == "A", blank).otherwise(F.col("ticker")))
+    assert {r.place: r.orders_100ms for r in rolling.order_counts(nulls, {"100ms": 100_000}).collect()} == expected
+
+
 def test_history_counts_by_event_time(spark, group_rows):
     frame = flow(5)
     ours = rolling.history_counts(to_spark(spark, frame), {"100ms": 100_000})
@@ -157,6 +174,29 @@ def test_ranking_quality_equals_pairwise_definition(spark, seed):
         assert got.pr_auc[g] == pytest.approx(np.mean(precision))
 
 
+def test_ranking_quality_of_very_many_rows(spark):
+    """Counts near 1e10 in each class, made of few score steps."""
+    steps = [(0.9, 9_000_000_000, 8_000_000_000), (0.5, 5_000_000_000, 2_000_000_000), (0.1, 9_000_000_000, 500_000_000)]
+    table = spark.createDataFrame(steps, "score double, rows long, positives long").withColumn("ticker", F.lit("A"))
+    found = m.quality_of_steps(m.with_running_totals(table, ["ticker"]), ["ticker"]).first()
+    positives = sum(p for _, _, p in steps)
+    negatives = sum(n - p for _, n, p in steps)
+    ahead, wins = 0, 0.0
+    for _, n, p in steps:
+        wins += (n - p) * (ahead + p / 2)
+        ahead += p
+    assert found.roc_auc == pytest.approx(wins / (positives * negatives))
+
+
+def test_totals_are_told_from_null_groups(spark):
+    rows = [(None, 1, 0.9), ("A", 0, 0.2), ("A", 1, None)]
+    df = spark.createDataFrame(rows, "ticker string, y_label int, predicted_proba double")
+    found = {(r.scope, r.ticker): r.tp + r.fp + r.tn + r.fn for r in m.confusion(df, group="ticker").collect()}
+    assert found == {("total", None): 2, ("ticker", None): 1, ("ticker", "A"): 1}
+    sweep = m.threshold_sweep(df, [0.5]).first()
+    assert sweep.tp + sweep.fp + sweep.tn + sweep.fn == 2
+
+
 def test_threshold_sweep_marks_the_first_best(spark):
     frame = pd.DataFrame({"predicted_proba": [1e-6, 1e-5, 0.003, 0.2, 0.0], "y_label": [0, 0, 1, 1, 1]})
     out = m.threshold_sweep(spark.createDataFrame(frame)).orderBy("step").toPandas()
