@@ -76,7 +76,7 @@ def ml5(spark, sf):
 def ml6(spark, sf):
     _, train, valid = inputs(spark, sf)
     grid = {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
-    best = models.search(models.boosted_trees(3), grid, train, trials=2)
+    best = models.search(models.boosted_trees(3), grid, train, valid)
     return models.predictions(models.scored(best, valid))
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from tapewatch.operators.features import sanitised
 from tapewatch.operators.metrics import LABEL, SCORE, evaluation, ranking_quality
 from tapewatch.operators.selection import class_weights, under_sample
 from tapewatch.schemas import KEYS
+from tapewatch.session import staged
 
 # Settings of the published learners that Spark's trees share.
 LEARNING_RATE, SECOND_LEARNING_RATE = 0.05, 0.03
@@ -60,9 +61,13 @@ def linear_member(**more):
     return Pipeline(stages=[scaler, model])
 
 
-def model_input(df: DataFrame, features: Sequence[str], keep: Sequence[str] = KEYS) -> DataFrame:
-    """Keys, label and one feature vector; absent features and missing values are 0."""
+def model_input(
+    df: DataFrame, features: Sequence[str], keep: Sequence[str] = KEYS, fill_absent: bool = False
+) -> DataFrame:
+    """Keys, label and one feature vector; missing values are 0, and with ``fill_absent`` absent columns too."""
     absent = {c: F.lit(0.0) for c in features if c not in df.columns}
+    if absent and not fill_absent:
+        raise ValueError(f"features the table lacks: {', '.join(absent)}")
     clean = sanitised(df.withColumns(absent), list(features))
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(clean)
     kept = [c for c in dict.fromkeys([*keep, LABEL, WEIGHT, VALIDATION_FLAG]) if c in assembled.columns]
@@ -89,7 +94,8 @@ def fit(estimator: Estimator, data: DataFrame) -> PipelineModel:
 
 def scored(model: PipelineModel, data: DataFrame, out: str = SCORE) -> DataFrame:
     added = model.transform(data)
-    positive = vector_to_array("probability")[1].alias(out)
+    # a model that saw no positive row has one class only
+    positive = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)).alias(out)
     return added.select(*data.columns, positive)
 
 
@@ -142,20 +148,17 @@ class AveragePrecision(Evaluator):
         return True
 
 
-def search(
-    estimator: Estimator, grid: dict, data: DataFrame, trials: int = 10, parallelism: int = 2, seed: int = 42
-):
-    """Try a random sample of a parameter grid and keep the best by average precision."""
+def search(estimator: Estimator, grid: dict, train: DataFrame, valid: DataFrame, trials: int = 50, seed: int = 42) -> PipelineModel:
+    """Try a random sample of a parameter grid and keep the best by average precision on the validation rows."""
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(getattr(estimator, param), values)
     options = builder.build()
     chosen = random.Random(seed).sample(options, min(trials, len(options)))
-    tuner = TrainValidationSplit(
-        estimator=estimator, estimatorParamMaps=chosen, evaluator=AveragePrecision(),
-        trainRatio=0.8, parallelism=parallelism, seed=seed,
-    )
-    return tuner.fit(data)
+    judge = AveragePrecision()
+    # one fit per trial, as a search requires
+    tried = ((fit(estimator.copy(params), train), k) for k, params in enumerate(chosen))
+    return max(((judge.evaluate(model.transform(valid)) or 0.0, -k, model) for model, k in tried), key=lambda x: x[:2])[2]
 
 
 def importances(model: PipelineModel, features: Sequence[str], spark: SparkSession, n: int = 20) -> DataFrame:
@@ -242,6 +245,7 @@ def train_and_evaluate(
     sampling: str = "stratified",
     class_weight: bool = False,
     method: str = "ensemble",
+    fill_absent: bool = False,
 ) -> tuple[Ensemble, DataFrame, DataFrame]:
     """Fit on the train split, evaluate on the valid split.
 
@@ -258,9 +262,10 @@ def train_and_evaluate(
         train = with_class_weight(train)
     keep = (*KEYS, "order_ts")
     # tree learners pass over their input many times; it may spill
-    fitted_on = model_input(train, features).persist()
-    judged_on = model_input(valid, features, keep).persist()
+    fitted_on = model_input(train, features, fill_absent=fill_absent).persist()
+    judged_on = staged(model_input(valid, features, keep, fill_absent=fill_absent))
     ensemble = fit_ensemble(estimators, fitted_on, judged_on)
     result = ensemble.score(judged_on)
-    metrics = run_record(method, fitted_on, judged_on, len(features), evaluation(result, KEYS))
+    metrics = staged(run_record(method, fitted_on, judged_on, len(features), evaluation(result, KEYS)))
+    fitted_on.unpersist()
     return ensemble, predictions(result), metrics

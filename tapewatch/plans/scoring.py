@@ -8,25 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapewatch.operators.selection import features_with_labels, with_target
 from tapewatch.plans import models, reports
+from tapewatch.plans.training import model_table
 from tapewatch.schemas import KEYS
 from tapewatch.session import configure
 from tapewatch.sources import tables
 
 
-def score_table(spark: SparkSession, model_path: str, table: DataFrame, threshold: float = 0.5) -> DataFrame:
+def score_table(
+    spark: SparkSession, model_path: str, table: DataFrame, threshold: float = 0.5, fill_absent: bool = False
+) -> DataFrame:
+    """Scores of a table that has all features of the model; with ``fill_absent`` missing ones count as 0."""
     ensemble, features, _ = models.load(model_path, spark)
-    data = models.model_input(table, features, (*KEYS, "order_ts"))
+    data = models.model_input(table, features, (*KEYS, "order_ts"), fill_absent)
     return models.predictions(ensemble.score(data), threshold)
 
 
 def run_scoring(
-    spark: SparkSession, model_path: str, data_root: str, out: str, dates: Sequence[str] = (), label: str = "y_label"
+    spark: SparkSession,
+    model_path: str,
+    data_root: str,
+    out: str,
+    dates: Sequence[str] = (),
+    label: str = "y_label",
+    stream_path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Predictions are written once; the summaries read them back."""
+    """Features are enriched as in training. Predictions are written once; the summaries read them back."""
     configure(spark)
     features = tables.read_features(spark, data_root, dates=dates)
     labels = tables.read_labels(spark, data_root, dates=dates)
-    table = with_target(features_with_labels(features, labels), label)
+    stream = tables.read_table(spark, stream_path, dates=dates) if stream_path else None
+    table = model_table(with_target(features_with_labels(features, labels), label), stream, ["ticker"])
     tables.write_daily(score_table(spark, model_path, table), out)
     done = tables.read_predictions(spark, out, dates=dates)
     return {

@@ -27,7 +27,7 @@ FEATURES = ["signal", "other", "absent"]
 
 def test_ensemble_learns_and_survives_storage(spark, table, tmp_path):
     members = {"boosted": models.boosted_trees(4), "forest": models.random_forest(8, leaf_rows=2), "linear": models.linear_member()}
-    ensemble, scored, metrics = models.train_and_evaluate(table, FEATURES, members, sampling="under", class_weight=True)
+    ensemble, scored, metrics = models.train_and_evaluate(table, FEATURES, members, sampling="under", class_weight=True, fill_absent=True)
     assert sum(ensemble.weights.values()) == pytest.approx(1.0)
     values = {r.metric: r.value for r in metrics.collect()}
     assert values["PR-AUC"] > 0.9 and values["ROC-AUC"] > 0.95
@@ -35,7 +35,7 @@ def test_ensemble_learns_and_survives_storage(spark, table, tmp_path):
     models.save(ensemble, FEATURES, {"PR-AUC": values["PR-AUC"]}, str(tmp_path / "model"), spark)
     again, features, kept = models.load(str(tmp_path / "model"), spark)
     assert features == FEATURES and kept["PR-AUC"] == values["PR-AUC"]
-    data = models.model_input(table.where("split = 'valid'"), features)
+    data = models.model_input(table.where("split = 'valid'"), features, fill_absent=True)
     both = models.predictions(again.score(data)).join(scored.select("order_id", F.col("predicted_proba").alias("before")), "order_id")
     assert both.where(F.abs(F.col("predicted_proba") - F.col("before")) > 1e-9).count() == 0 and both.count() == 300
 
@@ -46,13 +46,13 @@ def test_weights_follow_quality():
 
 
 def test_search_prefers_average_precision(spark, table):
-    data = models.model_input(table, FEATURES)
-    best = models.search(models.boosted_trees(2), {"maxDepth": [1, 3]}, data, trials=2)
+    data = models.model_input(table, FEATURES, fill_absent=True)
+    best = models.search(models.boosted_trees(2), {"maxDepth": [1, 3]}, data, data, trials=2)
     assert models.AveragePrecision().evaluate(best.transform(data)) > 0.9
 
 
 def test_importance_names_the_signal(spark, table):
-    data = models.model_input(table, FEATURES)
+    data = models.model_input(table, FEATURES, fill_absent=True)
     top = models.importances(models.fit(models.random_forest(5, leaf_rows=2), data), FEATURES, spark).first()
     assert top.feature == "signal"
 
@@ -63,7 +63,7 @@ def test_early_stopping_rows_are_repeatable(table):
 
 
 def test_learning_curve_grows(spark, table):
-    data = models.model_input(table, FEATURES)
+    data = models.model_input(table, FEATURES, fill_absent=True)
     curve = models.learning_curve(models.random_forest(3, leaf_rows=2), data, data, [0.3, 1.0]).orderBy("share").collect()
     assert curve[0].train_rows < curve[1].train_rows == 1200
 
@@ -73,3 +73,41 @@ def test_focal_loss_of_certain_scores(spark):
     assert models.mean_focal_loss(df).first().focal_loss == pytest.approx(0.25 * 0.25 * 0.693147 / 3, rel=1e-4)
     assert df.select(sigmoid(F.lit(0.0)).alias("x")).first().x == 0.5
     assert m.confusion(df).first().asDict() == {"tn": 1, "fp": 0, "fn": 1, "tp": 1}
+
+
+def test_absent_features_are_not_filled_silently(table):
+    with pytest.raises(ValueError, match="absent"):
+        models.model_input(table, FEATURES)
+
+
+def test_training_and_scoring_share_the_enrichment(spark, tmp_path):
+    from tapewatch.plans import stages, training
+    from tapewatch.plans.scoring import run_scoring
+    from tapewatch.sources import tables
+    from tests.test_properties import flow, to_spark
+
+    frames = []
+    for day, seed in (("20250303", 1), ("20250304", 2), ("20250502", 3)):
+        frame = flow(seed, 90)
+        frame["trade_date"] = day
+        for c in ("bid1", "ask1", "prev_close"):
+            frame[c] = frame.order_price + {"bid1": -0.1, "ask1": 0.1, "prev_close": 0.5}[c]
+        frame["bid_vol1"], frame["ask_vol1"], frame["survival_ms"] = 100.0, 200.0, 20.0
+        frames.append(frame.drop(columns=["mid_price", "spread", "log_qty"]))
+    stream = to_spark(spark, pd.concat(frames, ignore_index=True)).withColumn("order_type", F.lit("0"))
+    root = str(tmp_path)
+    tables.write_daily(stream, f"{root}/stream")
+    tables.write_daily(stages.features(stream), f"{root}/features")
+    large = F.when(F.col("order_qty") > 400, 1).otherwise(0)
+    tables.write_daily(stages.labels(stream).withColumn("y_label", large), f"{root}/labels")
+    members = {"forest": models.random_forest(3, leaf_rows=1), "boosted": models.boosted_trees(2)}
+    found = training.run_training(spark, root, f"{root}/out", members, f"{root}/stream", sampling="none")
+    scopes = {r["scope"] for r in tables.read_metrics(spark, f"{root}/out/metrics").collect()}
+    assert scopes == {"overall", "ticker"} and found["importances"].select("member").distinct().count() == 2
+    named = {r["feature"] for r in found["importances"].collect()}
+    assert {"orders_cancels_ratio", "log_qty_rank", "hist_spread_mean"} <= named
+    scored = run_scoring(spark, f"{root}/out/model", root, f"{root}/scored", dates=["20250502"], stream_path=f"{root}/stream")
+    assert scored["summary"].count() > 0
+    both = tables.read_predictions(spark, f"{root}/scored").select("order_id", F.col("predicted_proba").alias("again"))
+    pairs = found["predictions"].join(both, "order_id")
+    assert pairs.count() == 90 and pairs.where("abs(predicted_proba - again) > 1e-9").count() == 0
