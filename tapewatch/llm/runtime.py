@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
     # batches for Python end at either bound: one text may be as long as thousands of others
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 

@@ -13,7 +13,6 @@ token, as the library does by default; a text of any length is counted whole.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.llm.runtime import text_of
-from tapewatch.llm.tokenizing import LETTERS, WHITE, Remembered, load, units
+from tapewatch.llm.tokenizing import WHITE, Remembered, byte_alphabet, load, one_piece, units
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Token pairs whose compatibility one Python worker remembers.
@@ -34,7 +33,6 @@ REMEMBERED_PAIRS = 500_000
 #: Pieces that are cut differently while only their first two characters are there.
 LATE_PIECES = ("'re", "'ve", "'ll")
 
-_ONE_PIECE = re.compile(rf" ?[{LETTERS}]+").fullmatch
 
 
 class PrefixCounter:
@@ -45,12 +43,12 @@ class PrefixCounter:
         self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.longest = max(map(len, self.vocabulary))
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.alphabet = _byte_alphabet()
+        self.alphabet = byte_alphabet()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memory = Remembered(lambda new: [array("b", map(sub, counts := self.unit(u), [0, *counts])).tobytes() for u in new])
 
     def steps(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(self.memory.of(text)) for text in texts]
+        return list(map(self.memory.joined, texts))
 
     def may_follow(self, left: str, right: str) -> bool:
         """Whether the two tokens stay as they are when merged side by side."""
@@ -86,7 +84,7 @@ class PrefixCounter:
 
     def unit(self, unit: str) -> list[int]:
         """The count after each character of a unit."""
-        if _ONE_PIECE(unit):
+        if one_piece(unit):
             return self.piece(unit)
         special = min((s for s in self.specials if s in unit), key=unit.index, default=None)
         if special is not None:
@@ -118,13 +116,6 @@ class PrefixCounter:
         return counts
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The printable character that a byte-level vocabulary writes for each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 @lru_cache(maxsize=2)
 def prefix_counter(name: str) -> PrefixCounter:
     return PrefixCounter(name)
