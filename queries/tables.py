@@ -134,7 +134,8 @@ def sk1(spark, sf):
 
 
 @query("B1_DD3_multi_day_labels", """
-SELECT trade_date, count(*) AS samples, CAST(sum((survival_ms < 50 AND event_type = 'cancel'
+SELECT CASE WHEN grouping(trade_date) = 1 THEN 'total' ELSE 'trade_date' END AS scope, trade_date, count(*) AS samples,
+  CAST(sum((survival_ms < 50 AND event_type = 'cancel'
   AND coalesce(spread <> 0 AND abs(delta_mid) >= 4 * spread, false))::INT) AS BIGINT) AS positives FROM tkm GROUP BY ROLLUP (trade_date)
 """)
 def b1(spark, sf):
