@@ -42,18 +42,26 @@ LINKED_ROWS = 100_000
 COUNTED = 1 << 16
 
 
-def fingerprint(text: str, size: int) -> int:
-    """Bits set in over half of the shingles' hashes, as a signed 64-bit integer."""
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """The hash of every shingle of ``size`` words, in order; none of a text without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
     count = max(1, len(words) - size + 1)
     stops = (ends[min(size, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, count)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, count)
+
+
+def fingerprint(text: str, size: int) -> int:
+    """Bits set in over half of the shingles' hashes, as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, size)
+    count = len(hashes)
+    if not count:
+        return 0
     sums = np.zeros(64, np.int64)
     for k in range(0, count, COUNTED):
         bits = np.unpackbits(hashes[k : k + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

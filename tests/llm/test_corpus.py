@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapewatch.llm import catalogue, decontaminate, line_dedup, mixing, quality_rules, simhash
+from tapewatch.llm import catalogue, decontaminate, line_dedup, mixing, near_copies, quality_rules, simhash
 from tapewatch.llm.components import connected
 from tests.compare import differences, duck
 from tests.llm.conftest import FOLDER
@@ -244,3 +244,59 @@ def test_one_of_each_group_of_copies(spark, odd, empty):
     kept = corpus_pipeline.keep_one_of_copies(spark, docs, FOLDER).collect()
     texts = Counter((r["text"] or "").strip(" \t\n\x0b\x0c\r") for r in kept)
     assert set(texts.values()) == {1} and corpus_pipeline.keep_one_of_copies(spark, empty.select(docs.columns), FOLDER).count() == 0
+
+
+def shingle_sets(texts):
+    words = [WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def near_sets(sets):
+    return [(j, i) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+
+
+def test_near_copies_are_found_exactly(spark, monkeypatch):
+    """Planted copies with edited words, chains of them, a common passage, and short texts."""
+    monkeypatch.setattr(near_copies, "GROUPED_ROWS", 50)
+    draw = random.Random(11)
+    fresh = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    passage, texts = fresh(60), []
+    for _ in range(12):
+        base = fresh(draw.randint(60, 200))
+        texts.append(base)
+        for _ in range(6):
+            edited = list(draw.choice([base, texts[-1]]))
+            for _ in range(draw.randint(0, len(edited) // 30)):
+                edited[draw.randrange(len(edited))] = f"x{draw.randrange(10**6)}"
+            texts.append(edited)
+    texts += [passage + fresh(draw.randint(0, 30)) for _ in range(30)] + [fresh(4) for _ in range(3)] + [["a", "b"], ["A", "b"], [], []]
+    texts = [" ".join(t) for t in texts]
+    links = near_sets(shingle_sets(texts))
+    expected = components(len(texts), links)
+    prints = np.array([simhash.fingerprint(t, 5) for t in texts], np.int64).view(np.uint64)
+    assert sum(int(np.bitwise_count(prints[i] ^ prints[j])) > corpus_pipeline.COPY_BITS for i, j in links) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    roots = {r["doc_id"]: r["root"] for r in near_copies.near_copies(corpus_pipeline.with_digest(docs)).collect()}
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(roots[k], []).append(k)
+    assert [groups[roots[k]][0] for k in range(len(texts))] == expected
+    kept = [r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(docs).collect()]
+    assert sorted(kept) == sorted(set(expected))
+
+
+def test_no_near_copies_come_out(spark, docs, empty):
+    """No two documents that the mixture is drawn from have a similarity of 0.8."""
+    kept = [r["text"] or "" for r in corpus_pipeline.keep_one_of_near_copies(corpus_pipeline.keep_one_of_copies(spark, docs, FOLDER)).collect()]
+    assert not near_sets(shingle_sets(kept))
+    assert len(kept) == len(set(components(len(texts := [r["text"] or "" for r in docs.collect()]), near_sets(shingle_sets(texts)))))
+    assert corpus_pipeline.keep_one_of_near_copies(empty).count() == 0
+
+
+def test_near_fingerprints_alone_remove_nothing(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "COPY_BITS", 1)
+    flat = lambda docs: docs.withColumn("fingerprint", F.lit(7).cast("long"))
+    monkeypatch.setattr(simhash, "fingerprints", flat)
+    texts = ["one two three four five six"] * 2 + ["seven eight nine ten eleven twelve"] * 2
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_copies(spark, docs, FOLDER).collect()) == [0, 2]
