@@ -204,6 +204,26 @@ def test_raking_meets_the_targets(spark):
             assert abs(sum(r["n_tokens"] * r["factor"] for r in raked if r[d] == value) / total - target) < 1e-6
 
 
+def test_one_scarce_cell_does_not_thin_the_corpus(spark):
+    sources = ["hot"] + [f"s{k}" for k in range(20)]
+    cells = [(s, f"l{l}", f"t{t}", 1e6 * (20 if s == "hot" else 1) * (4 - l)) for s in sources for l in range(4) for t in range(3)]
+    schema = "source string, lang string, topic string, n_tokens double"
+    shares = []
+    for more in ([], [("typo", "l0", "t0", 60.0)]):
+        frame = spark.createDataFrame(cells + more, schema)
+        targets = {d: mixing.tempered(frame, d, power) for d, power in mixing.POWERS.items()}
+        found, error = mixing.fitted(frame, targets)
+        rows = found.collect()
+        shares.append(sum(r["n_tokens"] * r["probability"] for r in rows) / sum(r["n_tokens"] for r in rows))
+        assert error <= mixing.TOLERANCE and len(rows) == len(cells + more)
+        assert all(r["probability"] == 1 for r in rows if r["source"] == "typo")
+    assert abs(shares[0] - shares[1]) < 0.01 and shares[0] > 0.4
+    old = mixing.probabilities(mixing.rake(frame, targets)).collect()
+    assert sum(r["n_tokens"] * r["probability"] for r in old) / sum(r["n_tokens"] for r in old) < 0.1
+    kept = mixing.mixed(frame.withColumn("doc_id", F.lit(1)), scarce=mixing.SCARCE)
+    assert kept.count() == len(cells) + 1 and mixing.mixed(frame.withColumn("doc_id", F.lit(1)).where("false"), scarce=mixing.SCARCE).count() == 0
+
+
 def test_odd_rows(odd, empty, odd_rows):
     n = len(odd_rows)
     assert quality_rules.rule_ledger(odd).count() == n and quality_rules.rule_ledger(empty).count() == 0
