@@ -1,6 +1,6 @@
 """Licences by sentence rules.
 
-A text is cut into sentences, sentences with a cue word are normalised (lower case, words and version numbers
+A text is cut into sentences, which may go on over line ends with comment leaders but not over blank lines; sentences with a cue word are normalised (lower case, words and version numbers
 only) and looked up among known licence sentences. What is left of a text is a sequence of sentence
 identifiers with their places, and ordered rules are matched against it: at each identifier the first rule whose
 sequence follows, with at most ``MOST_BETWEEN`` unknown sentences between two of its sentences, is the finding,
@@ -77,6 +77,11 @@ SENTENCES = {
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
         "or fitness for a particular purpose"
     ],
+    "agpl-3-name": ["licensed under the gnu affero general public license version 3", "released under the gnu affero general public license version 3"],
+    "agpl-3-notice": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version"
+    ],
     "lgpl-name": ["licensed under the gnu lesser general public license *", "released under the gnu lesser general public license *"],
     "mpl-2-name": [
         "this source code form is subject to the terms of the mozilla public license v. 2.0",
@@ -97,6 +102,9 @@ RULES = [
     ("ISC", ("isc-grant", "isc-disclaimer")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("AGPL-3.0-or-later", ("agpl-3-notice", "gpl-warranty")),
+    ("AGPL-3.0-or-later", ("agpl-3-notice",)),
+    ("AGPL-3.0", ("agpl-3-name",)),
     ("GPL-3.0-or-later", ("gpl-3-notice", "gpl-warranty")),
     ("GPL-3.0-or-later", ("gpl-3-notice",)),
     ("GPL-2.0-or-later", ("gpl-2-notice", "gpl-warranty")),
@@ -115,8 +123,10 @@ RULES = [
 ]
 _SENTENCE = re.compile(r"(?:[^.;:?\n]|[.;:?](?![\s]|\Z))+[.;:?]?")
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*\.?(?=[^a-z.]|\Z)|[a-z]+|[0-9]+(?:\.[0-9]+)*")
-#: Normalised sentences longer than this are not licence sentences.
-LONGEST = 2000
+#: A line without words ends a paragraph; other line ends are spaces.
+_BLANK = re.compile(r"\n[^\w\n]*\n")
+#: Sentences that go on to the end of their line only.
+ONE_LINE = ("copyright", "rights-reserved")
 
 
 def normalised(sentence: str) -> str:
@@ -124,20 +134,40 @@ def normalised(sentence: str) -> str:
     return " ".join(w if w == "v." else w.rstrip(".") for w in words)
 
 
-def _lookup() -> tuple[dict[str, str], re.Pattern]:
-    """Sentences without open words by their text, the others as one pattern with a group each."""
-    exact, open_ = {}, []
+def _lookup() -> tuple[dict[str, str], list[tuple[str, list[str]]], dict[str, list[tuple[str, list[list[str]]]]]]:
+    """Sentences without open words by their text, the parts of the others, and the words of all by their first one."""
+    exact, open_, starts = {}, [], {}
     for name, forms in SENTENCES.items():
         for form in forms:
-            if "*" not in form:
+            parts = [part.strip() for part in form.split("*")]
+            if len(parts) == 1:
                 exact[form] = name
             else:
-                body = r"\b.*\b".join(re.escape(part.strip()) for part in form.split("*"))
-                open_.append(f"(?P<s{len(open_)}_{name.replace('-', '_')}>{body})")
-    return exact, re.compile("|".join(open_))
+                open_.append((name, [f" {part} " if part else "" for part in parts]))
+            # a sentence of several lines begins with its first known word
+            parts = parts if parts[0] else parts[1:]
+            if name not in ONE_LINE:
+                starts.setdefault(parts[0].split()[0], []).append((name, [part.split() for part in parts]))
+    for forms in starts.values():
+        forms.sort(key=lambda f: -sum(map(len, f[1])))
+    return exact, open_, starts
+
+
+_EXACT, _OPEN, _STARTS = _lookup()
 
 
-_EXACT, _OPEN = _lookup()
+def holds(text: str, parts: list[str]) -> bool:
+    """Whether a padded text begins and ends with the outer parts and has the others in order between them."""
+    first, *middle, last = parts
+    if not (text.startswith(first) and text.endswith(last)):
+        return False
+    # neighbouring parts may share the space between them
+    at, end = max(0, len(first) - 1), len(text) - max(0, len(last) - 1)
+    for part in middle:
+        if (found := text.find(part, at, end)) < 0:
+            return False
+        at = found + len(part) - 1
+    return at <= end
 
 
 def identify(sentence: str) -> str | None:
@@ -145,21 +175,56 @@ def identify(sentence: str) -> str | None:
     text = normalised(sentence)
     if text in _EXACT:
         return _EXACT[text]
-    found = _OPEN.fullmatch(text) if len(text) <= LONGEST else None
-    return found.lastgroup.split("_", 1)[1].replace("_", "-") if found else None
+    return next((name for name, parts in _OPEN if holds(f" {text} ", parts)), None)
+
+
+def wrapped(pieces: list[tuple[int, int]], text: str, k: int, paragraph: int) -> tuple[str, int] | None:
+    """The known sentence that begins with piece ``k`` and goes on in further lines, and the piece after it."""
+    first = normalised(text[slice(*pieces[k])]).split()
+    if not first or first[0] not in _STARTS:
+        return None
+    for name, parts in _STARTS[first[0]]:
+        head, fixed = parts[0], sum(map(len, parts))
+        if first[: len(head)] != head[: len(first)]:
+            continue
+        words, at = list(first), k + 1
+        while at < paragraph and words[: len(head)] == head[: len(words)] and (len(words) < fixed or len(parts) > 1 and text[pieces[at - 1][1] - 1] not in ".;:?"):
+            words += normalised(text[slice(*pieces[at])]).split()
+            at += 1
+        joined = " ".join(words)
+        if joined == " ".join(head) if len(parts) == 1 else holds(f" {joined} ", [f" {' '.join(p)} " if p else "" for p in parts]):
+            return name, at
+    return None
 
 
 def known_sentences(text: str) -> list[tuple[str, int, int, int]]:
-    """Identifier, number, start and end of each known sentence."""
+    """Identifier, number, start and end of each known sentence; sentences of several lines come before those of one."""
     low = text.lower()
     if not any(cue in low for cue in CUES):
         return []
-    found = []
-    for number, m in enumerate(_SENTENCE.finditer(text)):
-        sentence = m[0].lower()
-        if any(cue in sentence for cue in CUES) and (name := identify(m[0])):
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            found.append((name, number, start, m.end()))
+    pieces = [m.span() for m in _SENTENCE.finditer(text)]
+    breaks = [m.start() for m in _BLANK.finditer(text)]
+    found, k, number, b, paragraph = [], 0, 0, 0, 0
+    while k < len(pieces):
+        if k >= paragraph:
+            # pieces up to the next blank line
+            while b < len(breaks) and breaks[b] < pieces[k][1]:
+                b += 1
+            limit = breaks[b] if b < len(breaks) else len(text)
+            paragraph = k + 1
+            while paragraph < len(pieces) and pieces[paragraph][0] <= limit:
+                paragraph += 1
+        start, end = pieces[k]
+        piece, after = text[start:end], k + 1
+        if several := wrapped(pieces, text, k, paragraph):
+            name, after = several
+        else:
+            name = identify(piece) if any(cue in piece.lower() for cue in CUES) else None
+        if name:
+            found.append((name, number, start + len(piece) - len(piece.lstrip()), pieces[after - 1][1]))
+        # the lines of one unknown sentence count once
+        number += bool(name) or after == paragraph or piece[-1] in ".;:?"
+        k = after
     return found
 
 

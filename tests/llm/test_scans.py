@@ -127,6 +127,50 @@ def test_licences(texts):
         assert [(a, name, b) for name, a, b in scan(text)] == expected
 
 
+def test_wrapped_licences():
+    mit = """Copyright (c) 2020 Jane Doe
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    scan = lambda t: license_scan.match_rules(license_scan.known_sentences(t))
+    for text, name in ((mit, "MIT"), (bsd, "BSD-2-Clause"), (apache, "Apache-2.0"), (gpl, "GPL-3.0-or-later"), (gpl.replace("GNU", "GNU Affero"), "AGPL-3.0-or-later")):
+        for leader in ("", "# ", " * ", "// "):
+            body = "\n".join((leader + line).rstrip() for line in text.split("\n"))
+            found = scan(body)
+            assert [x[0] for x in found] == [name], (leader, found)
+            assert found[0][2] == len(body)
+    assert [x[0] for x in scan("word " * 900 + "is licensed under CC BY 4.0")] == ["CC-BY-4.0"]
+
+
 def test_odd_rows(odd, empty, odd_rows):
     n = len(odd_rows)
     for find, out in ((personal_data.find_personal_data, "personal"), (license_scan.find_licenses, "licenses")):
