@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewatch.session import configure, shared_folder
@@ -51,3 +51,15 @@ def file_system(folder: str):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Tasks that merge the best rows of one group before the last step.
+SPREAD = 32
+
+
+def best_of_tasks(best: DataFrame, keys: list[str], order: list[Column], top: int) -> DataFrame:
+    """The first ``top`` rows of each group with their ``rank``: first among the rows of some tasks, then among what those leave."""
+    step = best.withColumn("_spread", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+    for by in ([*keys, "_spread"], keys):
+        step = step.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    return step.drop("_spread")
