@@ -368,19 +368,70 @@ def b2(spark, sf):
     )
 
 
-@query("U3_enriched_features", """
-, t AS (SELECT * FROM tkm)
+def history_sql(by: str) -> str:
+    """History columns over all days, and what compares the rows of ``by``."""
+    ranked = ", ".join(
+        f"""coalesce(CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY {by} ORDER BY {c} NULLS LAST)
+  + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2) / count({c}) OVER (PARTITION BY {by}) END, 0) AS {c}_rank,
+  coalesce(({c} - avg({c}) OVER (PARTITION BY {by})) / (stddev_samp({c}) OVER (PARTITION BY {by}) + 1e-8), 0) AS {c}_zscore"""
+        for c in ("log_qty", "spread", "delta_mid")
+    )
+    return f""", k AS (SELECT *, last_value(mid_price IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known
+  FROM tkr WINDOW w AS (PARTITION BY ticker ORDER BY trade_date, order_ts, order_id)),
+hs AS (SELECT *, coalesce(stddev_samp(mid_price) OVER (w ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS price_volatility,
+  coalesce(stddev_samp(spread) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS spread_volatility,
+  coalesce(known / nullif(lag(known, 5) OVER w, 0) - 1, 0) AS price_momentum,
+  coalesce(avg(log_qty) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hist_order_size_mean,
+  coalesce(avg(spread) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hist_spread_mean, {ranked}
+  FROM k WINDOW w AS (PARTITION BY ticker ORDER BY trade_date, order_ts, order_id))"""
+
+
+#: The middle, the spread and their distances on a grid that both engines hit exactly, so that ranks see the same ties.
+ON_GRID = ("mid_price", "spread", "delta_mid")
+GRID_SQL = ", tkr AS (SELECT * REPLACE (" + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ON_GRID) + ") FROM tkm)"
+HISTORY_COLUMNS = (
+    "price_volatility", "spread_volatility", "price_momentum", "hist_order_size_mean", "hist_spread_mean",
+    "log_qty_rank", "spread_rank", "delta_mid_rank", "log_qty_zscore", "spread_zscore", "delta_mid_zscore",
+)
+
+
+def model_rows(spark, sf):
+    """Base features with the columns that histories are made of on a grid."""
+    based = rolling.order_counts(fx.with_base_features(fx.with_book(b.tk(spark, sf))))
+    assert set(BASE_FEATURES) <= set(based.columns)
+    return based.withColumns({c: r(c) for c in ON_GRID})
+
+
+@query("U3_enriched_features", GRID_SQL + history_sql("ticker") + """
 SELECT order_id, round(coalesce(spread / nullif(mid_price, 0), 0), 6) + 0.0 AS relative_spread,
-  round(coalesce(avg(log_qty) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 5) + 0.0 AS hist_order_size_mean,
-  round(coalesce(stddev_samp(mid_price) OVER (w ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0), 5) + 0.0 AS price_volatility
-FROM t WINDOW w AS (PARTITION BY ticker ORDER BY trade_date, order_ts, order_id)
-""")
+  round(coalesce((bid1 - ask1) / nullif(bid1 + ask1, 0), 0), 6) + 0.0 AS order_imbalance,
+  CASE WHEN delta_mid > -(spread / 2) AND delta_mid < spread / 2 THEN 1 ELSE 0 END AS between_quotes, """ + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in HISTORY_COLUMNS) + " FROM hs")
 def u3(spark, sf):
-    base = fx.with_base_features(fx.with_book(b.tk(spark, sf)))
-    counted = rolling.order_counts(base)
-    out = stages.enriched(counted, ["ticker"])
-    assert set(BASE_FEATURES) <= set(out.columns)
+    out = stages.enriched(model_rows(spark, sf), ["ticker"])
     return out.select(
-        "order_id", r("relative_spread").alias("relative_spread"), r("hist_order_size_mean", 5).alias("hist_order_size_mean"),
-        r("price_volatility", 5).alias("price_volatility"),
+        "order_id", r("relative_spread").alias("relative_spread"), r("order_imbalance").alias("order_imbalance"), "between_quotes", *[r(c, 5).alias(c) for c in HISTORY_COLUMNS]
     )
+
+
+@query("U3_ML7_histories_carried_by_run", GRID_SQL + history_sql("trade_date, ticker") + "SELECT order_id, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in HISTORY_COLUMNS) + " FROM hs")
+def u3_by_run(spark, sf):
+    """Runs of several days, then days one by one; each continues from the state that the run before stored."""
+    from tapewatch.schemas import TICKER_DAY
+    from tapewatch.session import scratch_path
+    from tapewatch.sources import tables
+
+    root = scratch_path(spark, "by-run")
+    tables.write_daily(model_rows(spark, sf), f"{root}/features")
+    ends = ["20240112", "20240127", "20240128", "20240129", "20240131"]
+    before, done = None, None
+    for last in ends:
+        rows = tables.read_features(spark, root).where(F.col("trade_date") <= last)
+        state = tables.read_state(spark, f"{root}/state", before) if before else None
+        if before:
+            rows = rows.where(F.col("trade_date") > before)
+        wide, history_of_run = stages.enriched_from(rows, state, ["ticker"], TICKER_DAY)
+        part = wide.select("order_id", *[r(c, 5).alias(c) for c in HISTORY_COLUMNS])
+        tables.write_state(history_of_run.state(), f"{root}/state", last)
+        done = part if done is None else done.unionByName(part)
+        before = last
+    return done

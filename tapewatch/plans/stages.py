@@ -18,15 +18,8 @@ from tapewatch.operators.events import (
     with_order_features,
     with_session_features,
 )
-from tapewatch.operators.history import (
-    arrival_gap_score,
-    earlier_means,
-    momentum,
-    ranks,
-    row_changes,
-    standard_scores,
-    trailing_deviation,
-)
+from tapewatch.operators.carried import History
+from tapewatch.operators.history import arrival_gap_score, ranks, row_changes, standard_scores
 from tapewatch.operators.labels import label_orders
 from tapewatch.operators.leakage import feature_table, label_table
 from tapewatch.operators.ordered import Groups, measure_groups
@@ -84,12 +77,20 @@ def safe_features(stream: DataFrame) -> DataFrame:
     return history_counts(market)
 
 
-def enriched(df: DataFrame, by: Sequence[str] = ("split", "ticker")) -> DataFrame:
+def enriched(df: DataFrame, by: Sequence[str] = ("split", "ticker"), within: Sequence[str] | None = None) -> DataFrame:
     """Model-input features over a ticker's history; with ``split`` in ``by`` none crosses the split.
 
-    Existing columns win over new ones of the same name.
+    Ranks and standard scores compare the rows of ``within``, which is ``by`` unless given. Existing columns win
+    over new ones of the same name.
     """
-    keys = list(by)
+    return enriched_from(df, None, by, within)[0]
+
+
+def enriched_from(
+    df: DataFrame, state: DataFrame | None, by: Sequence[str] = ("ticker",), within: Sequence[str] | None = TICKER_DAY
+) -> tuple[DataFrame, History]:
+    """``enriched`` with the histories continued from ``state``; the ``History`` gives the state after ``df``."""
+    keys, compared = list(by), list(within or by)
     present = set(df.columns)
     fixed = fx.add_missing(df, {"relative_spread": fx.relative_spread()})
     fixed = fx.add_missing(
@@ -97,15 +98,12 @@ def enriched(df: DataFrame, by: Sequence[str] = ("split", "ticker")) -> DataFram
     )
     groups = measure_groups(df, keys)
     # group statistics first: they are read from the table itself, not from the windows below
-    wide = standard_scores(fixed, keys)
-    wide = trailing_deviation(wide, keys, groups=groups)
-    wide = momentum(wide, keys, groups=groups)
-    wide = earlier_means(wide, keys, groups=groups)
-    wide = ranks(wide, keys, groups=groups)
+    history = History(standard_scores(fixed, compared), keys, state, groups=groups)
+    wide = ranks(history.features(), compared, groups=groups if compared == keys else None)
     known = fx.interaction_columns()
     if "cancels_5s" not in present:
         known.pop("orders_cancels_ratio")
-    return fx.sanitised(fx.add_missing(wide, known))
+    return fx.sanitised(fx.add_missing(wide, known)), history
 
 
 def with_recent_cancels(df: DataFrame, stream: DataFrame) -> DataFrame:

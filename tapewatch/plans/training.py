@@ -19,10 +19,10 @@ from tapewatch.sources import tables
 MODEL_FEATURES = tuple(c for c in ENRICHED_FEATURES if c != "between_quotes")
 
 
-def model_table(features: DataFrame, stream: DataFrame | None, by: Sequence[str]) -> DataFrame:
+def model_table(features: DataFrame, stream: DataFrame | None, by: Sequence[str], within: Sequence[str] | None = None) -> DataFrame:
     """Stored features as a model sees them, in training and in scoring: recent cancels and enrichment."""
     counted = stages.with_recent_cancels(features, stream) if stream is not None else features
-    return stages.enriched(counted, by)
+    return stages.enriched(counted, by, within)
 
 
 def run_training(
@@ -37,10 +37,12 @@ def run_training(
     tickers: DataFrame | None = None,
     sampling: str = "stratified",
     method: str = "ensemble",
+    within: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Fit on the training days and evaluate on the validation days, overall and per ticker.
 
-    History features never cross the split. Below ``out``: the model, the predictions and the metrics of
+    History features never cross the split. Ranks and standard scores compare the rows of a split's ticker, or of ``within``:
+    a model for daily scoring is trained with ticker-days. Below ``out``: the model, the predictions and the metrics of
     all runs. Returns the metrics of this run, the predictions, and the importances of tree members.
     """
     configure(spark)
@@ -48,7 +50,7 @@ def run_training(
     chosen = with_tickers(joined, tickers) if tickers is not None else joined
     table = with_split(with_target(chosen, label), train, valid)
     stream = tables.read_table(spark, stream_path) if stream_path else None
-    table = staged(model_table(table, stream, ["split", "ticker"]))
+    table = staged(model_table(table, stream, ["split", "ticker"], within))
     features = training_columns(table, more=[c for c in MODEL_FEATURES if c in table.columns])
 
     ensemble, predictions, metrics = models.train_and_evaluate(table, features, estimators, sampling, method=method)

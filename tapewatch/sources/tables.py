@@ -75,6 +75,30 @@ def read_predictions(spark: SparkSession, path: str, **where) -> DataFrame:
     return read_table(spark, path, schema=PREDICTIONS, **where)
 
 
+def _state_folder(path: str, day: str) -> str:
+    return f"{path.rstrip('/')}/as_of={day}"
+
+
+def state_days(spark: SparkSession, path: str) -> list[str]:
+    """Days as of which a state is stored, from the folder names; an unfinished one does not count."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/as_of=*/_SUCCESS")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(status.getPath().getParent().getName().partition("=")[2] for status in found or [])
+
+
+def read_state(spark: SparkSession, path: str, day: str) -> DataFrame:
+    return spark.read.parquet(_state_folder(path, day))
+
+
+def write_state(df: DataFrame, path: str, day: str, stale: Sequence[str] = ()) -> None:
+    """The state as of ``day``; the ``stale`` ones go first, so that none rests on replaced days."""
+    spark = df.sparkSession
+    for old in stale:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_state_folder(path, old))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    df.write.mode("overwrite").parquet(_state_folder(path, day))
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRICS).parquet(path)
 
