@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from tapewatch.functions.times import tick_time
 from tapewatch.operators.asof import first_quotes
 from tapewatch.operators.events import side_events, timed_orders
 from tapewatch.operators.ordered import small_side
+from tapewatch.session import staged
 from tapewatch.schemas import (
     EVENT_STREAM_FILE,
     EVENT_STREAM_NAMES,
@@ -30,6 +31,8 @@ DEFAULT_ENCODING = "gbk"
 # A row has at least a date, a time and an id or price: no row is shorter than this many bytes.
 SHORTEST_ROW = 20
 FILE_POSITION = ("_split_start", "_row_number")
+# Bytes of a file that are read to find its header; more only if its first line is longer.
+HEAD_BYTES = 4096
 # Fixed value: eight digits name a date folder.
 DATE_GLOB = "[0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9]"
 
@@ -62,22 +65,62 @@ def table_paths(
     return _existing(spark, [f"{root}/{day}/{ticker}/{file_name}", f"{root}/{day}/{DATE_GLOB}/{ticker}/{file_name}"])
 
 
-def _lines(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
-    whole_line = _options(spark, encoding).option("header", False).option("sep", "\u0001").option("quote", "")
-    lines = whole_line.schema("line string").csv(list(paths))
-    return lines.select("line", F.col("_metadata.file_path").alias("path"))
-
-
 def _names(header: str | Column) -> Column:
     """Column names of a header line in order, without marks and quotes."""
     bare = F.regexp_replace(header, "[\ufeff\r]", "")
     return F.transform(F.split(bare, ","), lambda n: F.trim(F.regexp_replace(F.trim(n), '^"|"$', "")))
 
 
+def head_reader(encoding: str) -> Callable[[str], tuple[str | None, int]]:
+    """Reads the first line of a file that is not blank, and tells the bytes it took: ``HEAD_BYTES``, and more only for a longer line."""
+    block_size = HEAD_BYTES
+
+    def first_line(uri: str) -> tuple[str | None, int]:
+        # needs nothing of this package in the workers
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        # Spark's paths escape what is no letter of any script; the others are escaped here
+        store, path = fs.FileSystem.from_uri(quote(uri.replace("s3a://", "s3://", 1), safe="%/:@!$&'()*+,;=~"))
+        seen, found = b"", None
+        with store.open_input_file(path) as file:
+            while found is None and (block := file.read(block_size)):
+                seen += block
+                # what ends in a line end is whole; a line end is never part of another character in these encodings
+                found = next((line for line in seen.split(b"\n")[:-1] if line.strip()), None)
+        if found is None and seen.strip():
+            found = seen.lstrip(b"\r\n").split(b"\n")[-1]
+        return None if found is None else found.decode(encoding, errors="replace"), len(seen)
+
+    return first_line
+
+
+def file_heads(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+    """``path``, first ``line`` and ``bytes`` read of every file. The list comes from metadata; tasks read file heads only."""
+    # one file or many to a task, whatever their sizes: a head costs the same
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias("path"))
+    dealt = files.repartition(F.xxhash64("path"))
+    first_line = head_reader(encoding)
+
+    def heads(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [first_line(uri) for uri in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), pa.array([line for line, _ in found], pa.string()), pa.array([size for _, size in found], pa.int64())], ["path", "line", "bytes"]
+            )
+
+    return dealt.mapInArrow(heads, "path string, line string, bytes long")
+
+
 def header_layouts(spark: SparkSession, paths: Sequence[str], encoding: str, marker: str) -> DataFrame:
-    """Column names of every file: (path, header). ``marker`` is a column name every header contains."""
-    found = _lines(spark, paths, encoding).where(F.contains(F.col("line"), F.lit(marker)))
-    return found.groupBy("path").agg(F.min("line").alias("line")).select("path", _names(F.col("line")).alias("header"))
+    """Column names of every file: (path, header). ``marker`` is a column name every header contains; the
+    header of a file without it is null."""
+    names = _names(F.col("line"))
+    heads = file_heads(spark, paths, encoding).where(F.col("line").isNotNull())
+    return heads.select("path", F.when(F.array_contains(names, F.lit(marker)), names).alias("header"))
 
 
 def _place(path: Column) -> dict[str, Column]:
@@ -100,8 +143,9 @@ def read_named(
     """All files as text columns selected by name; if ``placed``, with trade date and ticker from the path.
 
     Spark applies one header to all files of a read, so files are read by position. With ``mixed_headers``
-    the header of every file is found in one pass over the lines and written down; one more pass reads all
-    rows, each with its file's header beside it. Without, the first file's header is trusted, and a file
+    the head of every file is read first. The header that most files share gives the positions; only files with another one are named in a
+    table, which is joined by path. Where all files agree nothing is joined and only the wanted columns are
+    parsed. A file whose header names none of the columns gives no rows. Without ``mixed_headers`` one file's header is trusted, and a file
     with another one makes the read fail. Of a name that a header repeats the first column counts.
     Columns a file lacks are null. ``positions`` adds columns that order the rows of a file.
     """
@@ -119,21 +163,34 @@ def read_named(
     extra = [c.alias(n) for c, n in zip(place, FILE_POSITION)] if positions else []
     path = F.col("_metadata.file_path").alias("_path")
 
+    def place_in(header: Sequence[str], column: str) -> int | None:
+        return next((header.index(s) for s in sources[column] if s in header), None)
+
     if mixed_headers:
-        layouts = small_side(header_layouts(spark, paths, encoding, marker))
-        width = layouts.agg(F.max(F.size("header"))).first()[0] or 1
+        layouts = staged(header_layouts(spark, paths, encoding, marker))
+        # as many rows as there are different headers
+        usual = layouts.groupBy("header").count().orderBy(F.col("header").isNull(), F.desc("count"), F.concat_ws(",", "header")).first()
+        common = list(usual["header"] or []) if usual else []
+        others = layouts.where(~F.col("header").eqNullSafe(F.lit(common) if common else F.lit(None).cast("array<string>")))
+        width = max(len(common), others.agg(F.max(F.size("header"))).first()[0] or 0, 1)
         frame = reader([f"_c{i}" for i in range(width)], trusted=False)
-        cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
-        rows = frame.select(cells.alias("_cells"), *extra, path)
-        found = rows.join(layouts.withColumnRenamed("path", "_path"), "_path")
-        places = {c: F.coalesce(*[F.nullif(F.array_position("header", s), F.lit(0)) for s in sources[c]]) for c in columns}
-        picked = [F.get("_cells", (places[c] - 1).cast("int")).alias(c) for c in columns]
-        frame = found.select(*picked, *[n for n in FILE_POSITION if positions], "_path")
+        fixed = {c: place_in(common, c) for c in columns}
+        cells = {c: F.lit(None).cast("string") if fixed[c] is None else F.col(f"_c{fixed[c]}") for c in columns}
+        if others.isEmpty():
+            frame = frame.select(*[cells[c].alias(c) for c in columns], *extra, path)
+        else:
+            rows = frame.select(F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("_cells"), *[cells[c].alias(c) for c in columns], *extra, path)
+            named = others.select(F.col("path").alias("_path"), "header", F.lit(True).alias("_other"))
+            found = rows.join(small_side(named), "_path", "left").where(F.col("_other").isNull() | F.col("header").isNotNull())
+            own = {c: F.coalesce(*[F.nullif(F.array_position("header", s), F.lit(0)) for s in sources[c]]) for c in columns}
+            picked = [F.when(F.col("_other"), F.get("_cells", (own[c] - 1).cast("int"))).otherwise(F.col(c)).alias(c) for c in columns]
+            frame = found.select(*picked, *[n for n in FILE_POSITION if positions], "_path")
     else:
-        first = _lines(spark, paths[:1], encoding).where(F.contains(F.col("line"), F.lit(marker))).select(_names(F.col("line"))).first()
-        fields = list(first[0]) if first else []
+        heads = file_heads(spark, paths[:1], encoding).select(_names(F.col("line")).alias("header"))
+        first = heads.where(F.array_contains("header", F.lit(marker))).first()
+        fields = list(first["header"]) if first else []
         frame = reader(fields, trusted=True)
-        places = {c: next((fields.index(s) for s in sources[c] if s in fields), None) for c in columns}
+        places = {c: place_in(fields, c) for c in columns}
         picked = [(F.lit(None).cast("string") if places[c] is None else F.col(f"`{frame.columns[places[c]]}`")).alias(c) for c in columns]
         frame = frame.select(*picked, *extra, path)
     return (frame.withColumns(_place(F.col("_path"))) if placed else frame).drop("_path")

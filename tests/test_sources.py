@@ -155,3 +155,44 @@ def test_many_header_variants(spark, tmp_path):
         put(tmp_path / "base" / "20250303" / f"{k:06d}.SZ", ORDER_FILE, "gbk", f"x{k}," + ORDERS, f"0,20250303,93000010,{k},B,10.0,100,0")
     rows = raw_csv.read_raw_orders(spark, str(tmp_path / "base")).collect()
     assert sorted(int(r.order_id) for r in rows) == list(range(70)) and {r.order_price for r in rows} == {"10.0"}
+
+
+def test_headers_come_from_file_heads(spark, tmp_path):
+    """Three header variants in files of some size: beside the rows no more than the heads of the files are read."""
+    variants = [ORDERS, ORDERS_SHUFFLED, "x,y," + ORDERS]
+    makers = [
+        lambda k: f"20250303,93000010,{k},B,10.0,{k % 7},0", lambda k: f"{k % 7},{k},20250303,93000010,B,10.0,", lambda k: f"a,b,20250303,93000010,{k},B,10.0,{k % 7},0",
+    ]
+    size = 0
+    for v, (header, make) in enumerate(zip(variants, makers)):
+        for f in range(2 if v else 4):
+            place = tmp_path / "base" / "20250303" / f"{v}{f}.SZ"
+            put(place, ORDER_FILE, "gbk", header, *[make(k) for k in range(15000)])
+            size += (place / ORDER_FILE).stat().st_size
+    put(tmp_path / "base" / "20250303" / "none.SZ", ORDER_FILE, "gbk", "something,else", "1,2")
+    put(tmp_path / "base" / "20250303" / "empty.SZ", ORDER_FILE, "gbk", "")
+    paths = raw_csv.table_paths(spark, str(tmp_path / "base"), ORDER_FILE)
+    heads = raw_csv.file_heads(spark, paths, "gbk")
+    assert heads.agg(F.sum("bytes")).first()[0] <= 0.01 * size + 2 * raw_csv.HEAD_BYTES
+    rows = raw_csv.read_raw_orders(spark, str(tmp_path / "base"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "BroadcastHashJoin" in plan
+    found = rows.groupBy("ticker").agg(F.count("*").alias("n"), F.sum(F.col("order_id").cast("long")).alias("ids"), F.sum(F.col("order_qty").cast("long")).alias("qty")).collect()
+    wanted = (15000, sum(range(15000)), sum(k % 7 for k in range(15000)))
+    assert {r.ticker: tuple(r)[1:] for r in found} == {f"{v}{f}.SZ": wanted for v in range(3) for f in range(2 if v else 4)}
+
+
+def test_files_that_agree_are_not_joined(spark, tmp_path):
+    for k in range(3):
+        put(tmp_path / "base" / "20250303" / f"{k}.SZ", ORDER_FILE, "gbk", ORDERS, f"20250303,93000010,{k},B,10.0,100,0")
+    rows = raw_csv.read_raw_orders(spark, str(tmp_path / "base")).select("order_id", "ticker")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ReadSchema: struct<_c2:string>" in plan
+    assert {(r.order_id, r.ticker) for r in rows.collect()} == {(str(k), f"{k}.SZ") for k in range(3)}
+
+
+def test_long_and_late_first_lines(tmp_path):
+    for name, text, line in (("long", "a," * 9000 + "z\n1,2\n", "a," * 9000 + "z"), ("late", "\n \r\n自然日,b\r\n1,2", "自然日,b\r"), ("single", "a,b", "a,b"), ("none", "", None)):
+        (tmp_path / name).write_bytes(text.encode("gbk"))
+        found, size = raw_csv.head_reader("gbk")((tmp_path / name).as_uri())
+        assert found == line and size <= max(raw_csv.HEAD_BYTES, len(text) + raw_csv.HEAD_BYTES)
