@@ -8,6 +8,8 @@ from tapewatch.operators import features as fx
 from tapewatch.operators import leakage as lk
 from tapewatch.operators import selection as sel
 from tapewatch.plans import reports, stages
+from tapewatch.session import scratch_path
+from tapewatch.sources import tables
 
 TRAIN, VALID = "2024010|2024011", "2024012|2024013"
 SPLIT_SQL = """
@@ -39,6 +41,24 @@ def j4(spark, sf):
     return out.select("trade_date", "ticker", "order_id", "order_price", "y_label")
 
 
+@query("J4_J1_bucketed_daily_tables", """
+, ev AS (SELECT trade_date, ticker, us + CAST(survival_ms AS BIGINT) * 1000 AS eus FROM tkm WHERE event_type = 'cancel'),
+c AS (SELECT o.order_id, CAST(count(eus) AS BIGINT) AS cancels_5s FROM tkm o
+  LEFT JOIN ev e ON o.trade_date = e.trade_date AND o.ticker = e.ticker AND eus < us AND eus >= us - 5000000 GROUP BY o.order_id)
+SELECT tk.trade_date, tk.ticker, order_id, order_price, y_label, cancels_5s FROM tk JOIN pep USING (trade_date, ticker, order_id) JOIN c USING (order_id)
+""")
+def j4_bucketed(spark, sf):
+    """Tables dealt by ticker when they are written; the joins and the windows between them shuffle nothing."""
+    root = scratch_path(spark, "bucketed")
+    flow = b.tk(spark, sf)
+    parts = {"features": flow.select("trade_date", "ticker", "order_id", "order_ts", "order_price"), "labels": b.pe(spark, sf), "stream": flow}
+    for name, rows in parts.items():
+        tables.write_bucketed(rows, f"{root}/{name}", 8)
+    features, labels, stream = (tables.read_bucketed(spark, f"{root}/{name}") for name in parts)
+    out = stages.with_recent_cancels(sel.features_with_labels(features, labels), stream)
+    return out.select("trade_date", "ticker", "order_id", "order_price", "y_label", "cancels_5s")
+
+
 def named_tickers(spark, sf):
     """Tickers numbered like the nations of two regions; some do not exist."""
     nations = b.table(spark, sf, "nation").where("n_regionkey IN (1, 3)")

@@ -14,9 +14,12 @@ from tapewatch.schemas import QUOTE_VALUES, TICKER_DAY
 GRID_US = 100_000
 
 
-def first_quotes(quotes: DataFrame, keys: Sequence[str] = TICKER_DAY, order: Sequence[str] = ()) -> DataFrame:
-    """One quote per instant: the first by ``order`` (a file position, if known), else by value."""
-    chosen = first_per_key(quotes.where(F.col("quote_ts").isNotNull()), [*keys, "quote_ts"], [F.col(c) for c in order])
+def first_quotes(quotes: DataFrame, keys: Sequence[str] = TICKER_DAY, order: Sequence[str] = (), few: bool = True) -> DataFrame:
+    """One quote per instant: the first by ``order`` (a file position, if known), else by value.
+
+    An instant of a ticker holds a few quotes; ``few=False`` is for tables where it may hold millions.
+    """
+    chosen = first_per_key(quotes.where(F.col("quote_ts").isNotNull()), [*keys, "quote_ts"], [F.col(c) for c in order], few)
     return chosen.drop(*order)
 
 

@@ -61,25 +61,31 @@ def side_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def first_orders(orders: DataFrame) -> DataFrame:
-    return first_per_key(orders.where(F.col("order_ts").isNotNull()), KEYS, [F.col("order_ts")])
+def _named(df: DataFrame) -> DataFrame:
+    """Rows with a whole key: others match nothing, and could share one key by the million."""
+    return df.where(" AND ".join(f"{k} IS NOT NULL" for k in KEYS))
 
 
-def first_events(events: DataFrame) -> DataFrame:
+def first_orders(orders: DataFrame, few: bool = True) -> DataFrame:
+    return first_per_key(orders.where(F.col("order_ts").isNotNull()), KEYS, [F.col("order_ts")], few)
+
+
+def first_events(events: DataFrame, few: bool = True) -> DataFrame:
     """The earliest event of each order. At equal times the buy side and then the smaller trade code,
     with cancels ahead of fills, decide."""
     is_fill = F.when(F.col("event_type") == "cancel", 0).otherwise(1)
     order = [F.col("event_ts"), F.col("event_side"), is_fill]
-    return first_per_key(events.where(F.col("event_ts").isNotNull()), KEYS, order)
+    return first_per_key(events.where(F.col("event_ts").isNotNull()), KEYS, order, few)
 
 
-def orders_with_events(orders: DataFrame, events: DataFrame) -> DataFrame:
+def orders_with_events(orders: DataFrame, events: DataFrame, few: bool = True) -> DataFrame:
     """Orders joined to their events, one row per key.
 
     Both sides are reduced to one row per key first. That equals joining all pairs and keeping the
-    first of each key, but no key can multiply and hot keys are combined before the shuffle.
+    first of each key, but no key can multiply. An order has as many events as it has lots at most, so each side is
+    shuffled and sorted once and joined in that order; ``few=False`` is for ids that millions of rows may share.
     """
-    return first_orders(orders).join(first_events(events), list(KEYS), "inner")
+    return first_orders(_named(orders), few).join(first_events(_named(events), few), list(KEYS), "inner")
 
 
 def all_order_events(orders: DataFrame, events: DataFrame) -> DataFrame:

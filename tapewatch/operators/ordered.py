@@ -305,51 +305,133 @@ def _moment_carry(rows: DataFrame, keys: Sequence[str], columns: dict[str, Colum
     return centred.withColumns(sums).select(*out)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the first by ``order`` and then by the remaining columns.
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], few: bool = False) -> DataFrame:
+    """One row per key, the first by ``order`` and then by the remaining columns; the result does not depend on row order.
 
-    A minimum over structs: combined on the map side, so a key with very many rows is reduced before
-    the shuffle and the result does not depend on row order.
+    Without ``few`` it is a minimum over structs: combined on the map side, so a key with any number of rows is
+    reduced before the shuffle. Where a key cannot have more than a task's share of rows, ``few`` is cheaper: rows are dealt and
+    sorted by key once, the first is the one without a row of its key before it, and a join by the
+    same keys goes on from that order without another shuffle or sort.
     """
     rest = [c for c in df.columns if c not in keys]
+    if few:
+        ordered = Window.partitionBy(*keys).orderBy(*order, *rest)
+        marked = df.withColumn("_before", F.lag(F.lit(True)).over(ordered))
+        return marked.where(F.col("_before").isNull()).select(*df.columns)
     first = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *rest)).alias("_first")
     chosen = df.groupBy(*keys).agg(first)
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+# Rank error of the first look at a distribution, as a share of its rows.
+SKETCH_ERROR = 1e-4
+
+
+def _edges(value: Column, probabilities: Sequence[float], slack: float) -> Column:
+    """For each probability two values that enclose its quantile, told from a mergeable sketch; (low, high) pairs."""
+    asked = sorted({max(0.0, p - slack) for p in probabilities} | {min(1.0, p + slack) for p in probabilities})
+    sketch = F.percentile_approx(value, asked, int(1 / SKETCH_ERROR))
+
+    def at(p: float) -> Column:
+        return F.min(value) if p <= 0 else F.max(value) if p >= 1 else F.get(sketch, F.lit(asked.index(p)))
+
+    return F.array(*[F.struct(at(max(0.0, p - slack)).alias("low"), at(min(1.0, p + slack)).alias("high")) for p in probabilities])
+
+
+def _bracketed(value: Column, edges: Sequence[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """A value if it lies between a pair of edges, and how many pairs lie below it."""
+    inside = reduce(lambda a, b: a | b, [(value >= low) & (value <= high) for low, high in edges])
+    return F.when(inside, value), reduce(lambda a, b: a + b, [(value > high).cast("int") for _, high in edges])
+
+
+def _picked(counted: DataFrame, keys: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles read off bracketed values and the sizes of the stretches between them; null where a bracket missed."""
+    table = staged(counted)
+    if table.count() <= GROUP_ROWS:
+        in_order = Window.partitionBy(*keys).orderBy("_at")
+        upto = F.sum("_times").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sized = table.withColumns({"_upto": upto, "_size": F.sum("_times").over(Window.partitionBy(*keys))})
+    else:
+        sized = running_totals(table, keys, [F.col("_at")], {"_upto": F.col("_times")}, {"_size": "_upto"})
+    picks = []
+    for name, p in probabilities.items():
+        spot = (F.col("_size") - 1) * F.lit(p)
+
+        def at(index: Column) -> Column:
+            return F.max(F.when((F.col("_upto") - F.col("_times") <= index) & (index < F.col("_upto")), F.col("_inside")))
+
+        picks += [at(F.floor(spot)).alias(f"_low_{name}"), at(F.ceil(spot)).alias(f"_high_{name}"), F.max(spot - F.floor(spot)).alias(f"_between_{name}")]
+    found = sized.groupBy(*keys).agg(*picks)
+    between = {n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_between_{n}") for n in probabilities}
+    return found.select(*keys, *[value.alias(n) for n, value in between.items()])
+
+
+def _until_found(attempt: Callable[[float], DataFrame], probabilities: dict[str, float]) -> DataFrame:
+    """Widen the brackets in the unlikely case that a sketch was further off than it promises; the widest hold everything."""
+    slack = 2 * SKETCH_ERROR
+    while True:
+        found = staged(attempt(slack))
+        if slack >= 1 or found.where(" OR ".join(f"`{n}` IS NULL" for n in probabilities)).isEmpty():
+            return found
+        slack *= 16
+
+
+def quantiles_of_columns(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], name: str = "feature") -> DataFrame:
+    """Exact quantiles with linear interpolation of several columns: one row for each column that holds a value.
+
+    One pass brackets the quantiles of all columns by sketches, a second one counts what lies between the brackets and sorts only what
+    lies inside them: a few values in ten thousand, equal ones counted as one.
+    """
+    values = {c: F.col(c).cast("double") for c in columns}
+
+    def attempt(slack: float) -> DataFrame:
+        # as many rows on the driver as there are columns and probabilities
+        looked = df.agg(*[_edges(v, list(probabilities.values()), slack).alias(f"_{k}") for k, v in enumerate(values.values())]).first()
+        cells = []
+        for k, (c, v) in enumerate(values.items()):
+            edges = [(F.lit(e["low"]), F.lit(e["high"])) for e in looked[f"_{k}"] if e["low"] is not None]
+            if edges:
+                inside, region = _bracketed(v, edges)
+                cells.append(F.struct(F.lit(c).alias(name), v.alias("_value"), inside.alias("_inside"), region.alias("_region")))
+        if not cells:
+            schema = ", ".join([f"{name} string", *[f"`{n}` double" for n in probabilities]])
+            return df.sparkSession.createDataFrame([], schema)
+        tall = df.select(F.explode(F.array(*cells)).alias("_cell")).select("_cell.*").where("_value IS NOT NULL")
+        counted = tall.groupBy(name, "_inside", "_region").agg(F.count(F.lit(1)).alias("_times"), F.min("_value").alias("_at"))
+        return _picked(counted, [name], probabilities)
+
+    return _until_found(attempt, probabilities)
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], groups: Groups | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation per group; columns named by ``probabilities``.
 
-    Equal values are counted first, then ranks are read off running totals, so neither a large
-    group nor a frequent value gathers in one task.
+    No table is sorted by value. An ordinary group's values are counted in one task; of a large group only those inside
+    narrow brackets around the quantiles are told apart (``quantiles_of_columns``).
     """
     if not keys:
-        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities).drop("_all")
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
-    sized = running_totals(counted, keys, [F.col(value)], {"_upto": F.col("_times")}, {"_size": "_upto"})
-    picks = []
-    for name, p in probabilities.items():
-        spot = (F.col("_size") - 1) * F.lit(p)
+        return quantiles_of_columns(df, [value], probabilities, "_of").drop("_of")
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    names = list(probabilities)
 
-        def at(index: Column) -> Column:
-            return F.max(
-                F.when((F.col("_upto") - F.col("_times") <= index) & (index < F.col("_upto")), F.col(value))
+    def plain(frame: DataFrame) -> DataFrame:
+        counted = frame.groupBy(*keys).agg(F.percentile("_value", list(probabilities.values())).alias("_q"))
+        return counted.select(*keys, *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(names)])
+
+    def large(frame: DataFrame) -> DataFrame:
+        def attempt(slack: float) -> DataFrame:
+            edges = frame.groupBy(*keys).agg(_edges(F.col("_value"), list(probabilities.values()), slack).alias("_edges"))
+            rows = join_on(frame, small_side(edges), keys, "inner")
+            pairs = [(F.col("_edges")[k]["low"], F.col("_edges")[k]["high"]) for k in range(len(names))]
+            inside, region = _bracketed(F.col("_value"), pairs)
+            counted = rows.groupBy(*keys, inside.alias("_inside"), region.alias("_region")).agg(
+                F.count(F.lit(1)).alias("_times"), F.min("_value").alias("_at")
             )
+            return _picked(counted, keys, probabilities)
 
-        picks += [
-            at(F.floor(spot)).alias(f"_low_{name}"),
-            at(F.ceil(spot)).alias(f"_high_{name}"),
-            F.max(spot - F.floor(spot)).alias(f"_between_{name}"),
-        ]
-    picked = sized.groupBy(*keys).agg(*picks)
-    return picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_between_{n}")
-            ).alias(n)
-            for n in probabilities
-        ],
-    )
+        return _until_found(attempt, probabilities)
+
+    groups = groups or measure_groups(known, keys)
+    return groups.each(known, plain, large)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapewatch.functions.times import in_trading_hours, micros
 from tapewatch.operators.features import sanitised
 from tapewatch.operators.leakage import require_columns, risk_table
-from tapewatch.operators.ordered import exact_quantiles, running_totals
+from tapewatch.operators.ordered import quantiles_of_columns, running_totals
 from tapewatch.schemas import KEYS, TICKER_DAY
 
 LOT = 100
@@ -119,18 +119,26 @@ def checked_input(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def feature_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per feature: rows, missing share, outlier share (outside 1.5 interquartile ranges), leakage risk."""
-    tall = df.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("feature", "value"))
-    quartiles = exact_quantiles(tall, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    reach = WHISKER * (F.col("q3") - F.col("q1"))
-    outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
-    # as many quartile rows as there are columns
-    counted = tall.join(F.broadcast(quartiles), "feature", "left").groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"),
-        (F.count_if(F.col("value").isNull()) * 100.0 / F.count(F.lit(1))).alias("missing_pct"),
-        (F.count_if(outside) * 100.0 / F.count(F.lit(1))).alias("outlier_pct"),
-        F.max("median").alias("median"),
-    )
+    """Per feature: rows, missing share, outlier share (outside 1.5 interquartile ranges), leakage risk.
+
+    All features are measured row by row: nothing but their quartiles' neighbourhoods is told apart or sorted.
+    """
+    quartiles = {r["feature"]: r for r in quantiles_of_columns(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()}
+    measures = []
+    for c in columns:
+        value, found = F.col(c).cast("double"), quartiles.get(c)
+        outside = F.lit(False)
+        if found is not None:
+            reach = WHISKER * (found["q3"] - found["q1"])
+            outside = (value < found["q1"] - reach) | (value > found["q3"] + reach)
+        measures.append(F.struct(
+            F.lit(c).alias("feature"),
+            F.count(F.lit(1)).alias("rows"),
+            F.try_divide(F.count_if(value.isNull()) * 100.0, F.count(F.lit(1))).alias("missing_pct"),
+            F.try_divide(F.count_if(outside) * 100.0, F.count(F.lit(1))).alias("outlier_pct"),
+            F.lit(found["median"] if found is not None else None).cast("double").alias("median"),
+        ))
+    counted = df.agg(F.array(*measures).alias("_measures")).select(F.explode("_measures").alias("_m")).select("_m.*")
     return counted.join(F.broadcast(risk_table(df.sparkSession, columns)), "feature", "left")
 
 

@@ -128,18 +128,22 @@ def history_counts(
         }
         counted = rolling_sums(line, keys, "_us", amounts, windows, groups)
     else:
-        columns = [F.col(c) for c in flagged.columns]
-        arrivals = flagged.select(*columns, arrival_us.alias("_us"), F.lit(1).alias("_arrival"))
-        happened = flagged.where(F.col("event_ts").isNotNull()).select(
-            *keys, "past_cancel_flag", "past_trade_flag", event_us.alias("_us"), F.lit(0).alias("_arrival")
-        )
-        line = arrivals.unionByName(happened, allowMissingColumns=True)
+        # an order stands on the line twice, when it arrives and when its event happens; both come from one scan, where the
+        # table lies, and only the first carries the row
+        whole = F.struct(*[F.col(c) for c in flagged.columns if c not in keys])
+        blank = F.lit(None).cast(flagged.select(whole.alias("w")).schema["w"].dataType)
+        arrived = F.struct(arrival_us.alias("_us"), F.lit(1).alias("_arrival"), F.lit(0).alias("_cancel"), F.lit(0).alias("_trade"), whole.alias("_row"))
+        happened = F.struct(event_us.alias("_us"), F.lit(0).alias("_arrival"), F.col("past_cancel_flag").alias("_cancel"), F.col("past_trade_flag").alias("_trade"), blank.alias("_row"))
+        marks = F.when(F.col("event_ts").isNotNull(), F.array(arrived, happened)).otherwise(F.array(arrived))
+        line = flagged.select(*keys, F.explode(marks).alias("_mark")).select(*keys, "_mark.*")
         amounts = {
             "orders": F.col("_arrival"),
-            "cancels": F.when(F.col("_arrival") == 0, F.col("past_cancel_flag")).otherwise(0),
-            "trades": F.when(F.col("_arrival") == 0, F.col("past_trade_flag")).otherwise(0),
+            "cancels": F.col("_cancel"),
+            "trades": F.col("_trade"),
         }
         counted = rolling_sums(line, keys, "_us", amounts, windows, groups).where("_arrival = 1")
+        sums = [f"{a}_{w}" for a in amounts for w in windows]
+        counted = counted.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in flagged.columns], *sums, "_us", "_arrival")
     ratios = {
         f"cancel_ratio_{w}": zero_if_null(ratio(F.col(f"cancels_{w}"), F.col(f"orders_{w}") + 1e-8)) for w in windows
     }

@@ -108,7 +108,8 @@ def enriched_from(
 
 def with_recent_cancels(df: DataFrame, stream: DataFrame) -> DataFrame:
     """Attach ``cancels_5s`` of the event stream to a feature table."""
-    counts = history_counts(stream, {"5s": WINDOWS["5s"]}).select(*TICKER_DAY, "order_id", "cancels_5s")
+    needed = stream.select(*TICKER_DAY, "order_id", "order_ts", "event_ts", "event_type")
+    counts = history_counts(needed, {"5s": WINDOWS["5s"]}).select(*TICKER_DAY, "order_id", "cancels_5s")
     return df.join(counts, [*TICKER_DAY, "order_id"], "left")
 
 

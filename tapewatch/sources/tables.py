@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -135,6 +137,55 @@ def write_daily(df: DataFrame, path: str, order: Sequence[str] = ("ticker", "ord
     )
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int, order: Sequence[str] = ("ticker", "order_ts")) -> None:
+    """Replace the days present in ``df`` in a table whose days are dealt by ticker into ``buckets`` files each.
+
+    Tables written with the same number of buckets are joined, and their ticker-days ordered, without a shuffle. A ticker
+    stands in one file a day, so the number of buckets is chosen for the largest ticker-day, not for the table. The layout
+    lies beside the days, so another session finds the table by its path.
+    """
+    spark = df.sparkSession
+    rows = df.select(*[c for c in df.columns if c != "trade_date"], "trade_date")
+    sort = [c for c in order if c in df.columns]
+    layout = f"{path.rstrip('/')}/_layout"
+    if _has_files(spark, layout):
+        stored = spark.read.json(layout).first()["buckets"]
+        if stored != buckets:
+            raise ValueError(f"{path} has {stored} buckets, not {buckets}")
+    else:
+        described = [(buckets, json.dumps(sort), rows.schema.json())]
+        spark.createDataFrame(described, "buckets int, sort string, schema string").coalesce(1).write.json(layout)
+    # the rows of a bucket come from one task, as the same hash deals them
+    dealt = rows.repartition(buckets, "ticker").sortWithinPartitions("trade_date", *sort)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(_declared(spark, path))
+
+
+def read_bucketed(spark: SparkSession, path: str, dates: Sequence[str] = ()) -> DataFrame:
+    """A table of ``write_bucketed``. From then on the session joins sides that are dealt by some of their join keys as they are."""
+    # a ticker's bucket holds all rows of its longer keys
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    frame = spark.table(_declared(spark, path))
+    return frame.where(F.col("trade_date").isin(list(dates))) if dates else frame
+
+
+def _declared(spark: SparkSession, path: str) -> str:
+    """The name by which the session's catalogue knows the files below ``path``, declared from their layout if need be."""
+    root = path.rstrip("/")
+    name = "tapewatch_" + hashlib.md5(root.encode()).hexdigest()
+    if not spark.catalog.tableExists(name):
+        layout = spark.read.json(f"{root}/_layout").first()
+        fields = T.StructType.fromJson(json.loads(layout["schema"])).fields
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        sort = json.loads(layout["sort"])
+        ordered = f"SORTED BY ({', '.join(sort)})" if sort else ""
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (trade_date) CLUSTERED BY (ticker) {ordered} INTO {layout['buckets']} BUCKETS LOCATION '{root}'"
+        )
+    # days that another session wrote
+    spark.catalog.recoverPartitions(name)
+    return name
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in METRICS.fields]
     df.select(*columns).write.mode("append").parquet(path)
