@@ -2,16 +2,18 @@
 
 A text is the set of the hashes of its shingles of ``SIZE`` words; two texts are near copies if their sets have a
 Jaccard similarity of at least ``PERCENT``. Equal sets are one node. Sets are put in one order, rare shingles first:
-sets that are similar enough share a shingle of their prefixes, so every set is filed under those of its own
-(about a fifth of the set), and no pair that is similar is missed. Lengths and the places of the shared shingle
-leave out pairs that cannot be similar; all others are compared by their whole sets.
+of two sets that are similar enough the smaller one's index prefix (a ninth of it) and the larger one's prefix
+(a fifth) share a shingle, so every set is filed under the shingles of its prefix and no similar pair is missed.
+Lengths, the places of the shared shingle and bit signatures of the whole sets leave out pairs that cannot be
+similar; all others are compared by their whole sets.
 
-In each group of sets with one shingle all are first compared with the smallest node only, which joins a large group of
-near copies by links that grow with the group, not with its square. Then pairs of one group are compared whose
-members are not in one component yet.
+Filings are packed into records of 24 bytes and dealt by shingle once; only shingles filed by several nodes go on.
+In each group of sets with one shingle and like sizes all are offered the smallest set first, and every node is compared with the one it is
+offered most often: a large group of near copies is joined by links that grow with the group, not with its
+square. Then pairs of one group are compared whose members are not in one component yet.
 
 Rarity comes from counts over ``2 ** TABLE_BITS`` hash classes, of the shingles of one text in ``SAMPLED``: a table of
-a fixed size. Any order would give the same result.
+a fixed size, read as one byte a class. Any order would give the same result.
 
 Defined cases: words are those of the fingerprints, and a text with fewer than ``SIZE`` is one shingle; null, empty and
 blank texts have the empty set and are equal; sets below ``LEAST_SIZE`` are similar to their equals only; rows that share key and
@@ -21,12 +23,12 @@ of any length is compared whole; other columns are not used.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.llm.components import connected
@@ -36,11 +38,23 @@ from tapewatch.operators.ordered import join_on, small_side
 from tapewatch.session import scratch_path, staged
 
 SIZE, PERCENT = 5, 80
-TABLE_BITS, SAMPLED = 18, 8
+TABLE_BITS, SAMPLED = 22, 8
+#: Cells of the table that are summed together.
+CHUNK_BITS = 16
+#: Bits of a signature.
+SIGNATURE = 1024
 #: Smaller sets are similar to their equals only.
 LEAST_SIZE = next(n for n in range(1, 200) if 100 * n >= PERCENT * (n + 1))
-#: Rows that a task looks at together; a group that goes on is carried over.
-GROUPED_ROWS = 200_000
+#: Filings that a task groups at a time, and bytes of them that a task holds back before it hands them on.
+FILINGS, HELD_BYTES = 1_000_000, 16 << 20
+RECORD = np.dtype([("hash", "<i8"), ("id", "<i8"), ("size", "<i4"), ("at", "<i4")])
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` from compressed files in the shared folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -53,77 +67,107 @@ def cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def rarity_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """For each hash class of shingles their number in a sample."""
+    """For each hash class of shingles a byte that grows with their number in a sample."""
+    chunk = 1 << CHUNK_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << TABLE_BITS, np.uint32)
         for batch in batches:
             for body in batch["body"]:
-                table[cells(shingle_set(body))] += 1
-        yield pd.DataFrame({"cell": np.flatnonzero(table), "n": table[table > 0]})
+                np.add.at(table, cells(shingle_set(body)), 1)
+        for k, part in enumerate(table.reshape(-1, min(chunk, len(table)))):
+            if part.any():
+                yield pd.DataFrame({"chunk": [k], "counts": [part.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch["chunk"], batch["counts"]):
+                part = np.frombuffer(counts, np.uint32)
+                sums[k] = sums.get(k, 0) + part.astype(np.uint64)
+        for k, part in sums.items():
+            yield pd.DataFrame({"chunk": [k], "counts": [np.floor(4 * np.log2(1.0 + part)).clip(0, 255).astype(np.uint8).tobytes()]})
 
     body = text_of(text)
     sample = docs.select(body.alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(SAMPLED)) == 0)
-    counted = sample.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # one row, of a size that the table bounds
-    rows = counted.agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n")).first()
-    table = np.zeros(1 << TABLE_BITS, np.int64)
-    table[np.array(rows["cell"], np.int64)] = rows["n"]
+    counted = sample.mapInPandas(count, "chunk int, counts binary").repartition("chunk").mapInPandas(add, "chunk int, counts binary")
+    table = np.zeros((1 << TABLE_BITS) // min(chunk, 1 << TABLE_BITS) * min(chunk, 1 << TABLE_BITS), np.uint8)
+    # as many rows as the table has chunks
+    for row in counted.collect():
+        part = np.frombuffer(row["counts"], np.uint8)
+        table[row["chunk"] * len(part) : (row["chunk"] + 1) * len(part)] = part
     return table
 
 
-def prefix_size(size: int) -> int:
+def prefix_size(size):
+    """Of a set, how many of its first shingles it is filed under."""
     return size + PERCENT * size // -100 + 1
 
 
+def index_size(size):
+    """How many of them a set needs against sets that are no smaller."""
+    return size + 2 * PERCENT * size // -(100 + PERCENT) + 1
+
+
+def signature_of(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(SIGNATURE, np.uint8)
+    bits[(hashes >> TABLE_BITS) & (SIGNATURE - 1)] = 1
+    return np.packbits(bits).view("<i8")
+
+
 def described(docs: DataFrame, key: str, digest: str, text: str) -> DataFrame:
-    """``key``, ``digest``, the node ``id``, ``size`` and ``prefix`` of every row."""
+    """``key``, ``digest``, the node ``id``, ``size``, ``signature`` and ``prefix`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity_table(docs, text))
 
-    @F.pandas_udf("struct<id: long, size: int, prefix: array<long>>")
+    @F.pandas_udf("struct<id: long, size: int, signature: array<long>, prefix: array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        ids, sizes, prefixes = [], [], []
+        ids, sizes, signatures, prefixes = [], [], [], []
         for body in texts:
             own = shingle_set(body)
             ids.append(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
             sizes.append(len(own))
+            signatures.append(signature_of(own))
             # hashes are in order, which a stable sort by rarity keeps
             ordered = own[np.argsort(shared.value[cells(own)], kind="stable")]
             prefixes.append(ordered[: prefix_size(len(own)) if len(own) >= LEAST_SIZE else 0])
-        return pd.DataFrame({"id": np.array(ids, np.int64), "size": np.array(sizes, np.int32), "prefix": prefixes})
+        return pd.DataFrame({"id": np.array(ids, np.int64), "size": np.array(sizes, np.int32), "signature": signatures, "prefix": prefixes})
 
-    path = scratch_path(docs.sparkSession, "near-copies")
     found = docs.select(F.col(key).alias("key"), F.col(digest).alias("digest"), of(text_of(text)).alias("d"))
-    found.select("key", "digest", "d.*").write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(found.select("key", "digest", "d.*"), "near-copies")
 
 
-def by_groups(rows: DataFrame, found: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``found`` of whole groups of one ``hash``: rows in the order of hash and node, and the first row of each row's group."""
+def filed(nodes: DataFrame) -> DataFrame:
+    """All filings as packed records, dealt by shingle: ``part`` and ``data``."""
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = int(total // FILINGS) + 1
 
-    def each(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        hashes, ids = rows["hash"].to_numpy(), rows["id"].to_numpy()
-        new = np.r_[True, hashes[1:] != hashes[:-1]]
-        rows, new = (x[new | np.r_[True, ids[1:] != ids[:-1]]] for x in (rows, new))
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        if several.any():
-            rows, new = rows[several].reset_index(drop=True), new[several]
-            yield from found(rows, np.flatnonzero(new)[np.cumsum(new) - 1])
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= GROUPED_ROWS and batch["hash"].iloc[-1] != held[0]["hash"].iloc[0]:
-                every = pd.concat(held, ignore_index=True)
-                goes_on = every["hash"] == every["hash"].iloc[-1]
-                yield from each(every[~goes_on])
-                held = [every[goes_on]]
-        if sum(map(len, held)):
-            yield from each(pd.concat(held, ignore_index=True))
+        def handed() -> pd.DataFrame:
+            records = np.concatenate(held)
+            part = (records["hash"].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            records, part = records[order], part[order]
+            own, starts = np.unique(part, return_index=True)
+            return pd.DataFrame({"part": own, "data": [r.tobytes() for r in np.split(records, starts[1:])]})
 
-    return rows.repartition("hash").sortWithinPartitions("hash", "id").mapInPandas(run, schema)
+        for batch in batches:
+            lengths = batch["prefix"].map(len).to_numpy(np.int64)
+            records = np.empty(lengths.sum(), RECORD)
+            if len(records):
+                records["hash"] = np.concatenate(batch["prefix"].to_list())
+                records["id"], records["size"] = np.repeat(batch["id"].to_numpy(), lengths), np.repeat(batch["size"].to_numpy(), lengths)
+                records["at"] = np.arange(len(records)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                held.append(records)
+            if sum(r.nbytes for r in held) >= HELD_BYTES:
+                yield handed()
+                held = []
+        if held:
+            yield handed()
+
+    packed = nodes.select("id", "size", "prefix").mapInPandas(pack, "part int, data binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part")
 
 
 def may_match(size_a, at_a, size_b, at_b):
@@ -133,20 +177,60 @@ def may_match(size_a, at_a, size_b, at_b):
     return lengths & ((100 + PERCENT) * overlap >= PERCENT * (size_a + size_b))
 
 
-def to_first(rows: pd.DataFrame, first: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Each row with the smallest node of its group, and whether the two may be similar."""
-    ids, sizes, at = (rows[c].to_numpy() for c in ("id", "size", "at"))
-    yield rows.assign(first=ids[first], open=(first != np.arange(len(rows))) & may_match(sizes, at, sizes[first], at[first]))
-
-
-def between_roots(rows: pd.DataFrame, first: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Pairs of a group in different components that may be similar."""
-    ids, sizes, at, roots = (rows[c].to_numpy() for c in ("id", "size", "at", "root"))
-    for k in np.flatnonzero(first != np.arange(len(rows))):
-        before = slice(first[k], k)
-        hit = np.flatnonzero((roots[before] != roots[k]) & may_match(sizes[k], at[k], sizes[before], at[before])) + first[k]
-        if len(hit):
-            yield pd.DataFrame({"a": np.full(len(hit), ids[k]), "b": ids[hit]})
+SHARED = "hash long, id long, size int, at int, first long, open boolean"
+
+
+def shared_filings(records: np.ndarray) -> pd.DataFrame:
+    """The filings of shingles that several nodes share, each with the smallest set of like size that is indexed under
+    it, and whether the two may be similar."""
+    records = records[np.lexsort((records["id"], records["size"], records["hash"]))]
+    hashes = records["hash"]
+    group = np.cumsum(np.r_[False, hashes[1:] != hashes[:-1]])
+    records = records[np.bincount(group, minlength=1)[group] > 1] if len(records) else records
+    sizes, at = records["size"].astype(np.int64), records["at"].astype(np.int64)
+    band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / PERCENT)).astype(np.int64)
+    new = np.r_[True, (records["hash"][1:] != records["hash"][:-1]) | (band[1:] != band[:-1])][: len(records)]
+    own = np.cumsum(new) - 1
+    # the first indexed filing of each group, or none
+    indexed = np.flatnonzero(at < index_size(sizes))
+    hub = np.full(len(own) and own[-1] + 1, -1)
+    hub[own[indexed[::-1]]] = indexed[::-1]
+    first = hub[own]
+    first = np.where(first < 0, np.arange(len(records)), first)
+    return pd.DataFrame({
+        "hash": records["hash"], "id": records["id"], "size": records["size"], "at": records["at"], "first": records["id"][first],
+        "open": (records["id"][first] != records["id"]) & may_match(sizes, at, sizes[first], at[first]),
+    })
+
+
+def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shared filings of one part after the other."""
+    held, now = [], None
+    for batch in batches:
+        for part, data in zip(batch["part"], batch["data"]):
+            if held and part != now:
+                yield shared_filings(np.concatenate(held))
+                held = []
+            now = part
+            held.append(np.frombuffer(data, RECORD))
+    if held:
+        yield shared_filings(np.concatenate(held))
+
+
+def room_of(a: str, b: str) -> Column:
+    """Whether the filings ``a``, of the smaller set, and ``b`` leave room for the overlap."""
+    size_a, size_b, at_a, at_b = F.col(f"{a}.size"), F.col(f"{b}.size"), F.col(f"{a}.at"), F.col(f"{b}.at")
+    overlap = F.least(size_a - at_a, size_b - at_b) + F.least(at_a, at_b)
+    return (100 * size_a >= PERCENT * size_b) & ((100 + PERCENT) * overlap >= PERCENT * (size_a + size_b))
+
+
+def open_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` whose signatures leave room: a bit that only one set has stands for a shingle only it has."""
+    of = lambda name: nodes.select(F.col("id").alias(name), F.struct("size", "signature").alias(f"_{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    apart = F.aggregate(F.zip_with("_a.signature", "_b.signature", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    sizes = F.col("_a.size") + F.col("_b.size")
+    return both.where(apart <= sizes - 2 * F.ceil(PERCENT * sizes / (100 + PERCENT))).select("a", "b")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,23 +253,45 @@ def sets_of(docs: DataFrame, places: DataFrame, text: str = "text") -> DataFrame
     return join_on(docs.select(*keys, text_of(text).alias("_body")), small_side(places), keys, "inner").select("id", of("_body").alias("hashes"))
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", digest: str = "_digest", text: str = "text") -> DataFrame:
-    """``key``, ``digest`` and ``root`` of every row; ``digest`` tells rows with one key apart."""
+def near_copies(docs: DataFrame, key: str = "doc_id", digest: str = "_digest", text: str = "text", linked: DataFrame | None = None) -> DataFrame:
+    """``key``, ``digest`` and ``root`` of every row; ``digest`` tells rows with one key apart.
+
+    ``linked`` names pairs ``a``, ``b`` of digests that are known to be similar; they are not compared again.
+    """
     rows = described(docs, key, digest, text)
     first = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "digest")).alias("first")
-    nodes = rows.groupBy("id").agg(first).select("id", F.col("first.key").alias(key), F.col("first.digest").alias(digest))
-    filed = rows.select("id", "size", F.posexplode("prefix").alias("at", "hash"))
-    shared = staged(by_groups(filed, to_first, "id long, size int, at int, hash long, first long, open boolean"))
+    whole = [F.first(c).alias(c) for c in ("size", "signature", "prefix")]
+    nodes = written(rows.groupBy("id").agg(first, *whole).select("id", F.col("first.key").alias(key), F.col("first.digest").alias(digest), "size", "signature", "prefix"), "nodes")
+    shared = written(filed(nodes).mapInPandas(grouped, SHARED), "shared-filings")
 
     def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        found = sets_of(docs, nodes.join(wanted, "id"), text)
-        return staged(similar(pairs, found.dropDuplicates(["id"])))
-
-    tried = staged(shared.where("open").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
-    near = links(tried)
-    rooted = shared.join(connected(near), shared["id"] == F.col("node"), "left").select("hash", "id", "size", "at", F.coalesce("root", "id").alias("root"))
-    others = by_groups(rooted, between_roots, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    found = connected(near.unionByName(links(staged(others))))
+        chosen = staged(open_pairs(pairs, nodes))
+        wanted = chosen.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        found = sets_of(docs, nodes.select("id", key, digest).join(wanted, "id"), text)
+        return staged(similar(chosen, found.dropDuplicates(["id"])))
+
+    def with_roots(links: DataFrame) -> DataFrame:
+        found = connected(links)
+        return shared.join(found, shared["id"] == F.col("node"), "left").select(*shared.columns, F.coalesce("root", "id").alias("root"))
+
+    near = docs.sparkSession.createDataFrame([], "a long, b long")
+    if linked is not None:
+        of = lambda name: rows.select(F.col("digest").alias(name), F.col("id").alias(f"_{name}")).distinct()
+        near = staged(linked.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct())
+    # what is offered often is alike; whoever is in the component of all it is offered needs no comparison
+    rooted = staged(with_roots(near)) if linked is not None else shared.withColumn("root", F.col("id"))
+    offered = rooted.where("open").groupBy("id", "root", "first").count()
+    of_first = rooted.select(F.col("id").alias("first"), F.col("root").alias("_root")).distinct()
+    apart = offered.join(of_first, "first").where("root <> _root")
+    tried = staged(apart.groupBy("id").agg(F.max_by("first", F.struct("count", "first")).alias("b")).select(F.col("id").alias("a"), "b"))
+    near = staged(near.unionByName(links(tried)))
+    rooted = with_roots(near).drop("first", "open")
+    mine = rooted.where(F.col("at") < F.col("size") + F.floor(2 * PERCENT * F.col("size") / -(100 + PERCENT)) + 1)
+    x, y = mine.alias("x"), rooted.alias("y")
+    later = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
+    met = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.root") != F.col("y.root")) & later & room_of("x", "y"))
+    others = met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = connected(near.unionByName(links(staged(others.join(known, ["a", "b"], "left_anti")))))
     named = rows.select("key", "digest", "id").join(found, F.col("id") == F.col("node"), "left")
     return named.select(F.col("key").alias(key), F.col("digest").alias(digest), F.coalesce("root", "id").alias("root"))

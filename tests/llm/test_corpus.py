@@ -246,8 +246,7 @@ def test_pipeline(spark, docs, tmp_path):
     assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == {k for k, kept in verdicts.items() if kept}
     single = stages["simhash"](spark, good, FOLDER)
     rows = sorted((r["doc_id"], r["text"]) for r in good.collect())
-    prints = [simhash.fingerprint(t or "", 5) for _, t in rows]
-    low = components(len(rows), near(prints, corpus_pipeline.COPY_BITS))
+    low = components(len(rows), near_sets(shingle_sets([t or "" for _, t in rows])))
     assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == {rows[c][0] for c in low}
     clean = stages["decontaminate"](spark, single, FOLDER)
     leaking = {r["doc_id"] for r in decontaminate.find_leaks(single, catalogue.benchmark(spark, FOLDER)).collect()}
@@ -277,7 +276,8 @@ def near_sets(sets):
 
 def test_near_copies_are_found_exactly(spark, monkeypatch):
     """Planted copies with edited words, chains of them, a common passage, and short texts."""
-    monkeypatch.setattr(near_copies, "GROUPED_ROWS", 50)
+    monkeypatch.setattr(near_copies, "FILINGS", 300)
+    monkeypatch.setattr(near_copies, "HELD_BYTES", 2000)
     draw = random.Random(11)
     fresh = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
     passage, texts = fresh(60), []
@@ -301,16 +301,19 @@ def test_near_copies_are_found_exactly(spark, monkeypatch):
     for k in range(len(texts)):
         groups.setdefault(roots[k], []).append(k)
     assert [groups[roots[k]][0] for k in range(len(texts))] == expected
-    kept = [r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(docs).collect()]
-    assert sorted(kept) == sorted(set(expected))
+    full = docs.selectExpr("doc_id", "text", "'en' AS lang", "'a' AS source", "1L AS n_chars", "'clash' AS _digest", "'clash' AS root", "'clash' AS fingerprint")
+    kept = corpus_pipeline.keep_one_of_copies(spark, full, FOLDER)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected))
+    assert kept.columns == full.columns and {r["_digest"] for r in kept.collect()} == {"clash"}
 
 
 def test_no_near_copies_come_out(spark, docs, empty):
-    """No two documents that the mixture is drawn from have a similarity of 0.8."""
-    kept = [r["text"] or "" for r in corpus_pipeline.keep_one_of_near_copies(corpus_pipeline.keep_one_of_copies(spark, docs, FOLDER)).collect()]
+    """No two documents that stay have a similarity of 0.8."""
+    kept = [r["text"] or "" for r in corpus_pipeline.keep_one_of_copies(spark, docs, FOLDER).collect()]
     assert not near_sets(shingle_sets(kept))
     assert len(kept) == len(set(components(len(texts := [r["text"] or "" for r in docs.collect()]), near_sets(shingle_sets(texts)))))
-    assert corpus_pipeline.keep_one_of_near_copies(empty).count() == 0
+    bare = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.keep_one_of_copies(spark, bare, FOLDER).count() == 0
 
 
 def test_near_fingerprints_alone_remove_nothing(spark, monkeypatch):
