@@ -9,8 +9,9 @@ similar; all others are compared by their whole sets.
 
 Filings are packed into records of 24 bytes and dealt by shingle once; only shingles filed by several nodes go on.
 In each group of sets with one shingle and like sizes all are offered the smallest set first, and every node is compared with the one it is
-offered most often: a large group of near copies is joined by links that grow with the group, not with its
-square. Then pairs of one group are compared whose members are not in one component yet.
+offered most often. In large groups those outside the largest component are then offered its most typical member and, a few times, others of it. So a
+large group of near copies is joined by links that grow with the group, not with its square. At last all pairs of
+one group are compared whose members are not in one component yet.
 
 Rarity comes from counts over ``2 ** TABLE_BITS`` hash classes, of the shingles of one text in ``SAMPLED``: a table of
 a fixed size, read as one byte a class. Any order would give the same result.
@@ -23,7 +24,7 @@ of any length is compared whole; other columns are not used.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ SIGNATURE = 1024
 LEAST_SIZE = next(n for n in range(1, 200) if 100 * n >= PERCENT * (n + 1))
 #: Filings that a task groups at a time, and bytes of them that a task holds back before it hands them on.
 FILINGS, HELD_BYTES = 1_000_000, 16 << 20
+#: Filings under one shingle from which a group is large, and times that its nodes are offered another partner.
+LARGE, OFFERS = 64, 8
 RECORD = np.dtype([("hash", "<i8"), ("id", "<i8"), ("size", "<i4"), ("at", "<i4")])
 
 
@@ -177,7 +180,7 @@ def may_match(size_a, at_a, size_b, at_b):
     return lengths & ((100 + PERCENT) * overlap >= PERCENT * (size_a + size_b))
 
 
-SHARED = "hash long, id long, size int, at int, first long, open boolean"
+SHARED = "hash long, id long, size int, at int, many int, first long, open boolean"
 
 
 def shared_filings(records: np.ndarray) -> pd.DataFrame:
@@ -186,7 +189,8 @@ def shared_filings(records: np.ndarray) -> pd.DataFrame:
     records = records[np.lexsort((records["id"], records["size"], records["hash"]))]
     hashes = records["hash"]
     group = np.cumsum(np.r_[False, hashes[1:] != hashes[:-1]])
-    records = records[np.bincount(group, minlength=1)[group] > 1] if len(records) else records
+    many = np.bincount(group, minlength=1)[group] if len(records) else group
+    records, many = records[many > 1], many[many > 1]
     sizes, at = records["size"].astype(np.int64), records["at"].astype(np.int64)
     band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / PERCENT)).astype(np.int64)
     new = np.r_[True, (records["hash"][1:] != records["hash"][:-1]) | (band[1:] != band[:-1])][: len(records)]
@@ -198,7 +202,7 @@ def shared_filings(records: np.ndarray) -> pd.DataFrame:
     first = hub[own]
     first = np.where(first < 0, np.arange(len(records)), first)
     return pd.DataFrame({
-        "hash": records["hash"], "id": records["id"], "size": records["size"], "at": records["at"], "first": records["id"][first],
+        "hash": records["hash"], "id": records["id"], "size": records["size"], "at": records["at"], "many": many, "first": records["id"][first],
         "open": (records["id"][first] != records["id"]) & may_match(sizes, at, sizes[first], at[first]),
     })
 
@@ -253,6 +257,36 @@ def sets_of(docs: DataFrame, places: DataFrame, text: str = "text") -> DataFrame
     return join_on(docs.select(*keys, text_of(text).alias("_body")), small_side(places), keys, "inner").select("id", of("_body").alias("hashes"))
 
 
+def offered_again(shared: DataFrame, near: DataFrame, tried: DataFrame, links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Further links within large groups: their nodes are offered members of the largest component of their group.
+
+    A node that shares many shingles with others is typical and offered first, later ones come in the order of a hash. Each round compares a
+    node with one other at most; rounds end when few find a partner. Gives all links and all pairs that were compared.
+    """
+    large = shared.where(F.col("many") >= LARGE).drop("first", "open")
+    typical = shared.groupBy("id").agg(F.count(F.lit(1)).alias("typical"))
+    band = F.floor(F.ln(F.greatest("size", F.lit(1))) / F.ln(F.lit(100 / PERCENT)))
+    large = written(large.join(typical, "id").withColumn("band", band), "large-groups")
+    for k in range(OFFERS):
+        rooted = large.join(connected(near), large["id"] == F.col("node"), "left").select(*large.columns, F.coalesce("root", "id").alias("root"))
+        members = rooted.groupBy("root").agg(F.count_distinct("id").alias("members"))
+        rooted = rooted.join(members, "root")
+        rank = F.struct("members", F.col("typical") if k == 0 else F.xxhash64("id", F.lit(k)), "id")
+        hub = rooted.groupBy("hash", "band").agg(F.max_by(F.struct("id", "root", "size", "at"), rank).alias("hub"))
+        met = rooted.withColumnRenamed("id", "own").join(hub, ["hash", "band"]).where(F.col("root") != F.col("hub.root"))
+        overlap = F.least(F.col("size") - F.col("at"), F.col("hub.size") - F.col("hub.at")) + F.least(F.col("at"), F.col("hub.at"))
+        met = met.where((100 + PERCENT) * overlap >= PERCENT * (F.col("size") + F.col("hub.size")))
+        counted = met.select(F.col("own").alias("a"), F.col("hub.id").alias("b")).join(tried, ["a", "b"], "left_anti").groupBy("a", "b").count()
+        best = staged(counted.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
+        if best.isEmpty():
+            break
+        more = links(best)
+        near, tried = staged(near.unionByName(more)), staged(tried.unionByName(best))
+        if 20 * more.count() < best.count():
+            break
+    return near, tried
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", digest: str = "_digest", text: str = "text", linked: DataFrame | None = None) -> DataFrame:
     """``key``, ``digest`` and ``root`` of every row; ``digest`` tells rows with one key apart.
 
@@ -285,7 +319,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", digest: str = "_digest", t
     apart = offered.join(of_first, "first").where("root <> _root")
     tried = staged(apart.groupBy("id").agg(F.max_by("first", F.struct("count", "first")).alias("b")).select(F.col("id").alias("a"), "b"))
     near = staged(near.unionByName(links(tried)))
-    rooted = with_roots(near).drop("first", "open")
+    near, tried = offered_again(shared, near, tried, links)
+    rooted = with_roots(near).drop("first", "open", "many")
     mine = rooted.where(F.col("at") < F.col("size") + F.floor(2 * PERCENT * F.col("size") / -(100 + PERCENT)) + 1)
     x, y = mine.alias("x"), rooted.alias("y")
     later = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
