@@ -6,6 +6,7 @@ from queries import bindings as b
 from queries.registry import query, r, rounded
 from tapewatch.operators import features as fx
 from tapewatch.operators import leakage as lk
+from tapewatch.operators import quality as q
 from tapewatch.operators import selection as sel
 from tapewatch.plans import reports, stages
 from tapewatch.session import scratch_path
@@ -251,3 +252,27 @@ def safe(spark, sf):
         "order_id", "past_cancel_flag", "past_trade_flag",
         r(F.coalesce("price_distance_pct", F.lit(-1.0)), 5).alias("price_distance_pct"),
     )
+
+
+@query("L7_readable_features", """
+SELECT ticker, trade_date, order_id, event_type, side, order_price, order_qty, round(bid1, 6) + 0.0 AS bid1, round(ask1, 6) + 0.0 AS ask1, bid_vol1, ask_vol1, prev_close,
+  is_buy, round(mid_price, 6) + 0.0 AS mid_price, round(spread, 6) + 0.0 AS spread, survival_ms, round(order_price * order_qty, 4) + 0.0 AS order_amount FROM tkm
+""")
+def l7_readable(spark, sf):
+    whole = b.tkm(spark, sf).withColumn("order_amount", F.col("order_price") * F.col("order_qty"))
+    out = lk.readable_table(whole.withColumn("survival_rank", F.lit(1)))
+    digits = {"bid1": 6, "ask1": 6, "mid_price": 6, "spread": 6, "order_amount": 4}
+    return out.select(*[r(c, digits[c]).alias(c) if c in digits else c for c in out.columns])
+
+
+@query("L7_feature_themes", """
+, t AS (SELECT * FROM (VALUES ('price', 'order_price'), ('price', 'bid1'), ('price', 'ask1'), ('price', 'prev_close'), ('price', 'mid_price'), ('quantity', 'order_qty'),
+  ('quantity', 'bid_vol1'), ('quantity', 'ask_vol1'), ('quantity', 'log_qty'), ('time', 'survival_ms'), ('technical', 'spread'), ('technical', 'delta_mid')) AS v(theme, feature)),
+n AS (UNPIVOT (SELECT count(*) - count(order_price) AS order_price, count(*) - count(bid1) AS bid1, count(*) - count(ask1) AS ask1, count(*) - count(prev_close) AS prev_close,
+  count(*) - count(mid_price) AS mid_price, count(*) - count(order_qty) AS order_qty, count(*) - count(bid_vol1) AS bid_vol1, count(*) - count(ask_vol1) AS ask_vol1,
+  count(*) - count(log_qty) AS log_qty, count(*) - count(survival_ms) AS survival_ms, count(*) - count(spread) AS spread, count(*) - count(delta_mid) AS delta_mid FROM tkm)
+  ON COLUMNS(*) INTO NAME feature VALUE missing)
+SELECT theme, count(*) AS features, round(sum(missing) * 100 / (count(*) * (SELECT count(*) FROM tkm)), 6) AS missing_pct FROM t JOIN n USING (feature) GROUP BY theme
+""")
+def l7_themes(spark, sf):
+    return rounded(q.theme_profile(b.tkm(spark, sf)))

@@ -7,7 +7,7 @@ from queries.registry import query, rounded
 from tapewatch.operators import events as ev
 from tapewatch.operators import features as fx
 from tapewatch.operators import quality as q
-from tapewatch.plans import stages
+from tapewatch.plans import reports, stages
 from tapewatch.session import scratch_path
 from tapewatch.sources import raw_csv, tables
 from tapewatch.schemas import RAW_NAMES
@@ -260,3 +260,24 @@ def streaming(spark, sf):
         follow_labels(spark, source, out, state, extended=False).awaitTermination()
     done = tables.read_table(spark, out)
     return done.groupBy("trade_date").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("flag_R1").cast("int")).alias("fast_cancels"))
+
+
+TICKER_METRICS = "ticker string, rows long, positives long, mean_proba double, max_proba double, predicted_positives long"
+TICKER_METRICS_SQL = """
+SELECT ticker, count(*) AS rows, CAST(sum(y_label) AS BIGINT) AS positives, round(avg(predicted_proba), 4) AS mean_proba,
+  round(max(predicted_proba), 4) AS max_proba, CAST(sum(predicted_binary) AS BIGINT) AS predicted_positives FROM pep GROUP BY ticker
+"""
+
+
+@query("SK3_ticker_metrics_csv", TICKER_METRICS_SQL)
+def sk3_csv(spark, sf):
+    path = scratch_path(spark, "metrics-csv")
+    tables.write_csv(reports.prediction_summary_by_ticker(b.pe(spark, sf)), path)
+    return rounded(spark.read.schema(TICKER_METRICS).option("header", True).csv(path), 4)
+
+
+@query("SK4_ticker_metrics_json", TICKER_METRICS_SQL)
+def sk4_json(spark, sf):
+    path = scratch_path(spark, "metrics-json")
+    tables.write_json(reports.prediction_summary_by_ticker(b.pe(spark, sf)), path)
+    return rounded(spark.read.schema(TICKER_METRICS).json(path), 4)

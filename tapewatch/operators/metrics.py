@@ -251,17 +251,16 @@ def classification_report(df: DataFrame, threshold: float = 0.5, score: str = SC
     classes = classes.withColumn("support", F.col("tp") + F.col("fn"))
     measures = ["precision", "recall", "f1"]
     weight = F.col("support")
-    macro = classes.agg(*[F.avg(m).alias(m) for m in measures], F.sum("support").alias("support"))
-    weighted = classes.agg(
-        *[F.try_divide(F.sum(F.col(m) * weight), F.sum(weight)).alias(m) for m in measures],
-        F.sum("support").alias("support"),
-    )
+    # each class stands in its own row and in the three summaries: one pass over one evaluation
+    summaries = ("accuracy", "macro avg", "weighted avg")
+    rows = classes.withColumn("class", F.explode(F.array("class", *[F.lit(name) for name in summaries])))
     share = F.try_divide(F.sum("tp"), F.sum("support"))
-    accuracy = classes.agg(*[share.alias(m) for m in measures], F.sum("support").alias("support"))
-    out = classes.select("class", *measures, "support")
-    for name, frame in (("accuracy", accuracy), ("macro avg", macro), ("weighted avg", weighted)):
-        out = out.unionByName(frame.select(F.lit(name).alias("class"), *measures, "support"))
-    return out
+
+    def of(measure: str) -> Column:
+        weighted = F.try_divide(F.sum(F.col(measure) * weight), F.sum(weight))
+        return F.when(F.col("class") == summaries[0], share).when(F.col("class") == summaries[2], weighted).otherwise(F.avg(measure)).alias(measure)
+
+    return rows.groupBy("class").agg(*[of(m) for m in measures], F.sum("support").alias("support"))
 
 
 def top_share_rows(

@@ -13,7 +13,7 @@ from tapewatch.functions.times import in_trading_hours, micros
 from tapewatch.operators.features import sanitised
 from tapewatch.operators.leakage import require_columns, risk_table
 from tapewatch.operators.ordered import quantiles_of_columns, running_totals
-from tapewatch.schemas import KEYS, TICKER_DAY
+from tapewatch.schemas import FEATURE_THEMES, KEYS, TICKER_DAY
 
 LOT = 100
 STRONG_CORRELATION = 0.8
@@ -142,6 +142,21 @@ def feature_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.join(F.broadcast(risk_table(df.sparkSession, columns)), "feature", "left")
 
 
+def theme_profile(df: DataFrame, themes: dict[str, Sequence[str]] = FEATURE_THEMES) -> DataFrame:
+    """Per theme of features: how many of them the table has, and the share of their values that is missing."""
+    present = {theme: [c for c in columns if c in df.columns] for theme, columns in themes.items()}
+    measures = [
+        F.struct(
+            F.lit(theme).alias("theme"),
+            F.lit(len(columns)).cast("long").alias("features"),
+            F.try_divide(sum((F.count_if(F.col(c).isNull()) for c in columns[1:]), F.count_if(F.col(columns[0]).isNull())) * 100.0, F.count(F.lit(1)) * len(columns)).alias("missing_pct"),
+        )
+        for theme, columns in present.items()
+        if columns
+    ]
+    return df.agg(F.array(*measures).alias("_measures")).select(F.explode("_measures").alias("_m")).select("_m.*")
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of features (missing values count as 0)."""
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(sanitised(df.select(*columns)))
