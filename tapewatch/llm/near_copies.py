@@ -228,13 +228,27 @@ def room_of(a: str, b: str) -> Column:
     return (100 * size_a >= PERCENT * size_b) & ((100 + PERCENT) * overlap >= PERCENT * (size_a + size_b))
 
 
+def signatures_meet(a: str, b: str) -> Column:
+    """Whether two signatures leave room: a bit that only one set has stands for a shingle only it has."""
+    apart = F.aggregate(F.zip_with(f"{a}.signature", f"{b}.signature", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    sizes = F.col(f"{a}.size") + F.col(f"{b}.size")
+    return apart <= sizes - 2 * F.ceil(PERCENT * sizes / (100 + PERCENT))
+
+
 def open_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose signatures leave room: a bit that only one set has stands for a shingle only it has."""
+    """The pairs ``a``, ``b`` whose signatures leave room."""
     of = lambda name: nodes.select(F.col("id").alias(name), F.struct("size", "signature").alias(f"_{name}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    apart = F.aggregate(F.zip_with("_a.signature", "_b.signature", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
-    sizes = F.col("_a.size") + F.col("_b.size")
-    return both.where(apart <= sizes - 2 * F.ceil(PERCENT * sizes / (100 + PERCENT))).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(signatures_meet("_a", "_b")).select("a", "b")
+
+
+def met_apart(rooted: DataFrame, signed: bool) -> DataFrame:
+    """Pairs ``a``, ``b`` of different components that share a shingle and leave room; ``signed`` rows have signatures, which must meet too."""
+    mine = rooted.where(F.col("at") < F.col("size") + F.floor(2 * PERCENT * F.col("size") / -(100 + PERCENT)) + 1)
+    x, y = mine.alias("x"), rooted.alias("y")
+    later = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
+    fit = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.root") != F.col("y.root")) & later & room_of("x", "y")
+    met = x.join(y, fit & signatures_meet("x", "y") if signed else fit)
+    return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -320,12 +334,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", digest: str = "_digest", t
     tried = staged(apart.groupBy("id").agg(F.max_by("first", F.struct("count", "first")).alias("b")).select(F.col("id").alias("a"), "b"))
     near = staged(near.unionByName(links(tried)))
     near, tried = offered_again(shared, near, tried, links)
-    rooted = with_roots(near).drop("first", "open", "many")
-    mine = rooted.where(F.col("at") < F.col("size") + F.floor(2 * PERCENT * F.col("size") / -(100 + PERCENT)) + 1)
-    x, y = mine.alias("x"), rooted.alias("y")
-    later = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
-    met = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.root") != F.col("y.root")) & later & room_of("x", "y"))
-    others = met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    rooted = with_roots(near).drop("first", "open")
+    # in large groups signatures go with the filings, so that pairs that cannot be similar are never made
+    large = rooted.where(F.col("many") >= LARGE).join(nodes.select("id", "signature"), "id")
+    others = met_apart(rooted.where(F.col("many") < LARGE), False).unionByName(met_apart(large, True)).distinct()
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = connected(near.unionByName(links(staged(others.join(known, ["a", "b"], "left_anti")))))
     named = rows.select("key", "digest", "id").join(found, F.col("id") == F.col("node"), "left")
