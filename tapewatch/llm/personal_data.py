@@ -1,13 +1,14 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds at-signs, plus signs, digits, schemes and cue words. Small
-deterministic parsers then expand each anchor to the left and right as far as its grammar allows and
-validate what they find. Places without an anchor are never looked at again.
+One Aho-Corasick pass over a text, in lower case, finds at-signs, plus signs, digits, schemes and cue words. Small
+deterministic parsers then expand each anchor in the text as written, to the left and right as far as its grammar
+allows, and validate what they find. Places without an anchor are never looked at again.
 
 Base kinds follow fixed grammars, leftmost and without overlap within a kind: ``email``, ``ip``, ``card``
 (14 to 19 digits with a valid check digit), ``phone`` (10 to 15 digits). Added kinds: ``login`` (user part of
-a URL), ``account`` (an identifier after a cue, check digits verified where the format has them) and
-``address`` (house number, capitalised words and a street word).
+a URL), ``account`` (an identifier after a cue in any case, check digits verified where the format has them) and
+``address`` in the orders of four languages: ``12 Main St``, ``Hauptstraße 12``, ``3 rue de la Paix``, ``Calle Mayor 5``.
+Addresses that overlap an earlier one are left out.
 
 Defined cases: a null text counts as the empty one, without spans; rows are searched one by one, so
 repeated ones give equal spans; a column named like the output is replaced; an empty table stays empty; a
@@ -29,17 +30,43 @@ from tapewatch.llm.runtime import text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "account", "address")
-#: Cue words before an identifier, and words that end a street.
-ACCOUNT_CUES = ("iban", "account no", "account number", "acct", "routing number", "ssn", "social security number", "passport no", "passport number", "tax id")
-STREET_WORDS = ("Street", "Avenue", "Boulevard", "Road", "Lane", "Drive", "Court", "Square", "Straße", "Strasse")
+#: Cue words before an identifier. Short ones must begin a word.
+ACCOUNT_CUES = (
+    "iban", "account no", "account number", "acct", "routing no", "routing number", "sort code", "ssn", "social security no", "social security number",
+    "passport no", "passport number", "tax id", "taxpayer id",
+    "konto-nr", "konto nr", "kontonummer", "steuernummer", "steuer-nr", "steuer-id", "passnummer", "pass-nr", "ausweisnummer", "sozialversicherungsnummer",
+    "numéro de compte", "n° de compte", "numéro de sécurité sociale", "n° de sécurité sociale", "numéro de passeport", "numéro fiscal",
+    "número de cuenta", "nº de cuenta", "n.º de cuenta", "número de la seguridad social", "número de seguridad social", "número de pasaporte", "dni", "nif",
+)
+SHORT_CUE = 4
+#: Words that end a street after its house number, their abbreviations, and what may follow those.
+STREET_WORDS = ("street", "avenue", "boulevard", "road", "lane", "drive", "court", "square", "terrace", "parkway", "highway", "straße", "strasse")
+STREET_SHORT = ("st", "ave", "blvd", "rd", "ln", "dr", "ct", "sq", "pkwy", "hwy")
+STREET_STOPS = " .,;:)\n\r\t"
+#: Ends of a street's name before its house number.
+STREET_ENDS = ("straße", "strasse", "str.", "str", "weg", "platz", "allee", "gasse", "ufer", "damm")
+#: Street words between house number and name, and what may stand between number and word.
+WAYS_AFTER = ("rue", "avenue", "boulevard", "bd", "place", "chemin", "impasse", "quai", "allée", "route")
+HOUSE_ENDS = (*"0123456789", *(f"{d}," for d in "0123456789"), " bis", " ter", " bis,", " ter,")
+#: Street words before name and house number.
+WAYS_BEFORE = ("calle", "c/", "avenida", "avda.", "paseo", "plaza", "camino")
+#: A day and a month are no house number and street.
+MONTHS = "January February March April May June July August September October November December".split()
 #: Characters of the grammars.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IDENTIFIER = re.compile(r"[\x20:#.]{0,3}(?:is\x20|no\.?\x20)?([A-Z]{0,2}[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
-_HOUSE = re.compile(r"(?<![\w.])[0-9]{1,5}[A-Za-z]?\x20(?:[A-Z][\w'-]*\x20){1,4}\Z")
-#: Characters that a street name before its last word may take.
-_STREET_REACH = 90
+_IDENTIFIER = re.compile(r"[\x20:#.]{0,3}(?:(?i:is|ist|lautet|est|es|no|nr)[.:]?\x20)?([A-Z]{0,2}[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+_HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?")
+#: A word of a street's name: capitalised, or an ordinal.
+_NAME = re.compile(r"[^\W\d_a-zß-öø-ÿ][\w'’.-]*|[0-9]+(?:st|nd|rd|th)")
+_PARTS = r"(?:(?:de\x20la|de\x20los|de\x20las|de\x20l['’]|de|del|des|du|d['’]|la|le|les|el)(?:\x20|(?<=['’])))?"
+_NAMES = r"[^\W\d_a-zß-öø-ÿ][\w'’-]*(?:\x20(?:de\x20(?:la\x20|l['’])?|du\x20|del\x20|des\x20)?[^\W\d_a-zß-öø-ÿ][\w'’-]*){0,3}"
+_AFTER = re.compile(_PARTS + _NAMES)
+_BEFORE = re.compile(rf"\x20?{_PARTS}{_NAMES},?\x20(?:n[.º°]*\x20?)?[0-9]{{1,4}}(?![\w])")
+_NUMBER = re.compile(r"[0-9]{1,4}[a-z]?(?![\w])")
+#: Words of a street's name between house number and street word.
+MOST_NAMES = 4
 DIGITS = "0123456789"
 
 
@@ -52,10 +79,20 @@ def anchors() -> ahocorasick.Automaton:
         found.add_word(digit, ("digit", 1))
     found.add_word("://", ("scheme", 3))
     for cue in ACCOUNT_CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     for word in STREET_WORDS:
         found.add_word(" " + word, ("street", len(word)))
+    for word in STREET_SHORT:
+        for stop in STREET_STOPS:
+            found.add_word(f" {word}{stop}", ("short", len(word) + 1))
+    for word in STREET_ENDS:
+        for digit in DIGITS:
+            found.add_word(f"{word} {digit}", ("before_house", len(word) + 2))
+    for word in WAYS_AFTER:
+        for head in HOUSE_ENDS:
+            found.add_word(f"{head} {word} ", ("after_house", len(head) + len(word) + 2))
+    for word in WAYS_BEFORE:
+        found.add_word(word, ("way", len(word)))
     found.make_automaton()
     return found
 
@@ -128,9 +165,11 @@ def logins(text: str, schemes: list[int]) -> Iterator[tuple[int, int]]:
             yield end, stop
 
 
-def accounts(text: str, cues: list[int]) -> Iterator[tuple[int, int]]:
+def accounts(text: str, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     done = 0
-    for end in cues:
+    for start, end in cues:
+        if end - start <= SHORT_CUE and start and text[start - 1].isalnum():
+            continue
         found = _IDENTIFIER.match(text, end)
         if found and found.start(1) >= done:
             bare = re.sub(r"[\x20-]", "", found[1])
@@ -140,27 +179,109 @@ def accounts(text: str, cues: list[int]) -> Iterator[tuple[int, int]]:
                 yield found.span(1)
 
 
-def streets(text: str, ends: list[int]) -> Iterator[tuple[int, int]]:
-    for start, end in ends:
-        begin = max(0, start - _STREET_REACH)
-        if found := _HOUSE.search(text[begin:start]):
-            yield begin + found.start(), end
+def word_before(text: str, end: int) -> int:
+    """Where the word that ends at ``end`` begins."""
+    space = max(0, text.rfind(" ", 0, end) + 1)
+    return max(space, text.rfind("\n", space, end) + 1)
+
+
+def streets(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """House number, one to four words of a name and a street word."""
+    for at, end in words:
+        if not text[at].isupper() or (end < len(text) and text[end].isalnum()):
+            continue
+        names = []
+        stop = at - 1
+        while stop > 0 and text[stop] == " " and len(names) <= MOST_NAMES:
+            begin = word_before(text, stop)
+            house = text[begin:stop].lstrip("(\"'")
+            if names and _HOUSE.fullmatch(house):
+                if len(names) > 1 or names[0] not in MONTHS:
+                    yield stop - len(house), end
+                break
+            if not _NAME.fullmatch(text, begin, stop):
+                break
+            names.append(text[begin:stop])
+            stop = begin - 1
+
+
+def streets_before_number(text: str, ends: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """A name that ends in a street word, or a capitalised word and a street word, and the house number."""
+    for at, end in ends:
+        begin = word_before(text, at) if at and text[at - 1] not in " \n" else at
+        while begin < at and not text[begin].isalpha():
+            begin += 1
+        if begin == at:
+            first = word_before(text, at - 1) if at > 1 and text[at - 1] == " " else at
+            while first < at - 1 and not text[first].isalpha():
+                first += 1
+            if first == at or not _NAME.fullmatch(text, first, at - 1):
+                continue
+            begin, named = first, text[at].isupper()
+        else:
+            named = text[begin].isupper() and all(c.isalpha() or c in "-." for c in text[begin:at])
+        number = _NUMBER.match(text, end - 1)
+        if named and number:
+            yield begin, number.end()
+
+
+def streets_after_number(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """House number, street word and a name."""
+    for at, end in words:
+        stop = at
+        while stop < end and text[stop] in DIGITS:
+            stop += 1
+        begin = stop
+        while begin > 0 and begin > stop - 6 and text[begin - 1] in DIGITS:
+            begin -= 1
+        whole = 1 <= stop - begin <= 5 and not (begin and (text[begin - 1].isalnum() or text[begin - 1] in ".,-"))
+        if whole and (name := _AFTER.match(text, end)):
+            yield begin, name.end()
+
+
+def ways(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Street word, a name and the house number."""
+    for at, end in words:
+        if not (at and text[at - 1].isalnum()) and (found := _BEFORE.match(text, end)) and (text[end - 1] == "/" or text[end] == " "):
+            yield at, found.end()
+
+
+def apart(spans: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Leftmost spans, the longest of those that begin together, without overlap."""
+    done = 0
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start >= done:
+            done = end
+            yield start, end
+
+
+def lowered(text: str) -> str:
+    """Lower case with the offsets of ``text``: one capital has a longer small form."""
+    return text.replace("İ", "I").lower()
 
 
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind."""
-    places: dict[str, list] = {"@": [], "+": [], "scheme": [], "cue": [], "street": []}
+    places: dict[str, list] = {"@": [], "+": [], "scheme": [], "cue": [], "street": [], "before_house": [], "after_house": [], "way": []}
     runs: list[tuple[int, int]] = []
     first = last = -1
-    for end, (what, size) in anchors().iter(text):
-        if what != "digit":
-            places[what].append((end + 1 - size, end + 1) if what == "street" else end + 1 - (size == 1))
-        elif end == last + 1 and first >= 0:
-            last = end
+    # an abbreviation at the very end has its stop as well
+    for end, (what, size) in anchors().iter(lowered(text) + "\n"):
+        if what == "digit":
+            if end == last + 1 and first >= 0:
+                last = end
+            else:
+                if first >= 0:
+                    runs.append((first, last + 1))
+                first = last = end
+        elif what == "short":
+            places["street"].append((end + 1 - size, end))
+        elif size == 1:
+            places[what].append(end)
+        elif what == "scheme":
+            places[what].append(end + 1)
         else:
-            if first >= 0:
-                runs.append((first, last + 1))
-            first = last = end
+            places[what].append((end + 1 - size, end + 1))
     if first >= 0:
         runs.append((first, last + 1))
     found = {
@@ -170,7 +291,11 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         "phone": phones(text, places["+"]),
         "login": logins(text, places["scheme"]),
         "account": accounts(text, places["cue"]),
-        "address": streets(text, places["street"]),
+        "address": apart(
+            span
+            for parser, kind in ((streets, "street"), (streets_before_number, "before_house"), (streets_after_number, "after_house"), (ways, "way"))
+            for span in parser(text, places[kind])
+        ),
     }
     spans = [(start, order, end) for order, kind in enumerate(KINDS) for start, end in found[kind]]
     return [(KINDS[order], start, end) for start, order, end in sorted(spans)]

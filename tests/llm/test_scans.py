@@ -56,6 +56,35 @@ def test_personal_data_is_what_the_grammars_find():
         assert [s for s in personal_data.spans_of(text) if s[0] in personal_data.BASE_KINDS] == plain_personal(text), text
 
 
+#: Ordinary forms of addresses and identifiers in four languages.
+ADDRESSES = [
+    "12 Main St", "5 Oak Ave", "9 Hill Rd", "77 Sunset Blvd", "42 Old Oak Street", "120 W 42nd St", "1 Martin Luther King Drive", "Hauptstraße 12", "Berliner Straße 5a", "Goethestr. 7", "Lindenweg 3",
+    "3 rue de la Paix", "12 Avenue Foch", "7 bis, rue Victor Hugo", "12 rue d'Alésia", "Calle Mayor 5", "Avenida de la Constitución, 12", "C/ Alcalá 7", "Paseo del Prado 8",
+    "9 " + "Verylongname" * 20 + " Road",
+]
+ACCOUNTS = [
+    ("Account Number: ", "12345678"), ("Social Security Number ", "123-45-6789"), ("Routing Number ", "021000021"), ("PASSPORT NO. ", "C01234567"), ("Tax ID: ", "12-3456789"), ("Konto-Nr. ", "12345678"),
+    ("Kontonummer lautet ", "12345678"), ("Numéro de compte : ", "123456789"), ("Número de cuenta: ", "123456789"), ("DNI ", "12345678Z"),
+]
+CLEAN = [
+    "On 12 May Dr. Smith came by.", "auf Platz 3 der Liste", "Geh den Weg 3 mal", "He took place 4 of 12 places.", "ISSN 12345678", "The street was long, 5 drive by.", "La calle era larga y 5 coches", "account number unknown",
+    "Chapter 3 Street lights", "5 rue", "calle 5", "İİ and nothing else",
+]
+
+
+@pytest.mark.parametrize("before", ["", "İ lives at ", "seen: (", "\n"])
+def test_ordinary_forms_of_personal_data(before):
+    for address in ADDRESSES:
+        text = f"{before}{address}, or so"
+        assert [text[a:b] for kind, a, b in personal_data.spans_of(text) if kind == "address"] == [address], text
+        assert [kind for kind, _, _ in personal_data.spans_of(before + address)] == ["address"]
+    for cue, number in ACCOUNTS:
+        text = f"{before}{cue}{number}, or so"
+        assert [text[a:b] for kind, a, b in personal_data.spans_of(text) if kind == "account"] == [number], text
+    for text in CLEAN:
+        assert personal_data.spans_of(before + text) == [], text
+
+
 def test_added_personal_data():
     text = "He lives at 42 Old Oak Street, IBAN: DE89 3704 0044 0532 0130 00, see http://bob:pw@x.com/ and SSN 123-45-6789."
     found = {kind: text[a:b] for kind, a, b in personal_data.spans_of(text)}
