@@ -30,6 +30,10 @@ def plain_personal(text):
     return ordered(text, kinds)
 
 
+#: The model of words without counted texts.
+NO_PAIRS = secret_scan.word_model(np.zeros(729, dtype=np.int64)).tolist()
+
+
 def plain_secrets(text):
     kinds = [
         ("assign", r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", None),
@@ -104,7 +108,7 @@ def test_secrets_are_what_the_grammars_find():
     draw = random.Random(4)
     for _ in range(4000):
         text = "".join(draw.choices(pieces, k=draw.randint(0, 14)))
-        assert secret_scan.search(text)[0] == plain_secrets(text), text
+        assert secret_scan.search(text, NO_PAIRS)[0] == plain_secrets(text), text
 
 
 def test_tests_of_randomness_keep_their_level():
@@ -123,6 +127,58 @@ def test_random_strings_are_added_and_even_ones_are_not(spark):
     assert sum("random" in found[k] for k in range(30)) >= 26 and not any("random" in found[k] for k in range(30, 60))
 
 
+def step_up(values, level):
+    """The indexes that the procedure of Benjamini and Hochberg rejects; values are powers of ten, taken negative."""
+    order = sorted(range(len(values)), key=lambda k: -values[k])
+    last = max((rank for rank, k in enumerate(order, 1) if 10 ** -values[k] <= level * rank / len(values)), default=0)
+    return {k for k in range(len(values)) if last and values[k] >= values[order[last - 1]]}
+
+
+def test_reported_strings_by_length(spark, texts):
+    """Planted random strings are found at every length, identifiers made of words are not; the whole set equals a plain computation."""
+    draw = random.Random(8)
+    words = [w for t in list(texts.values())[:50] for w in re.findall("[a-z]{3,}", t)]
+    rows, planted = [(k, t) for k, t in enumerate(texts.values())], {}
+
+    def plant(string, what):
+        planted[10_000 + len(planted)] = (what, string)
+        rows.append((9_999 + len(planted), f"see {string} there"))
+
+    for size in (16, 20, 24, 32):
+        for name in ("base62", "base64", "base32", "base36"):
+            for _ in range(100):
+                plant("".join(draw.choices(secret_scan.ENCODINGS[name], k=size)), (name, size))
+        for k in range(200):
+            parts = [draw.choice(words) for _ in range(size)]
+            joined = "".join(map(str.capitalize, parts)) if k % 2 else "_".join(parts)
+            plant(joined[: size - 2] + f"{draw.randrange(100):02d}", ("words", size))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in secret_scan.find_secrets(docs).collect()}
+
+    share = {}
+    for key, (what, string) in planted.items():
+        hit = (4, 4 + len(string)) in found[key]
+        share.setdefault(what, []).append(hit)
+    for (name, size), hits in share.items():
+        assert np.mean(hits) <= 0.01 if name == "words" else np.mean(hits) >= 0.9, (name, size, np.mean(hits))
+    reported = sum(map(len, found.values()))
+    wrong = reported - sum(sum(hits) for (name, _), hits in share.items() if name != "words")
+    assert wrong <= 0.05 * reported
+
+    model = secret_scan.word_model(sum(secret_scan.letter_pairs(t) for _, t in rows)).tolist()
+    by_class = {}
+    for key, text in rows:
+        for start, end, size, not_words, even in secret_scan.search(text, model)[1]:
+            by_class.setdefault(size, []).append((key, start, end, not_words / secret_scan.STEPS, even / secret_scan.STEPS))
+    plain = set()
+    for strings in by_class.values():
+        told = step_up([s[3] for s in strings], secret_scan.FALSE_REPORTS)
+        likelier = [k for k, s in enumerate(strings) if s[3] > 0]
+        uneven = {likelier[k] for k in step_up([strings[k][4] for k in likelier], secret_scan.FALSE_REJECTIONS)}
+        plain |= {strings[k][:3] for k in told - uneven}
+    assert plain == {(key, a, b) for key, spans in found.items() for a, b in spans}
+
+
 @pytest.mark.parametrize(("name", "plain", "kinds"), [("op1_personal_data", plain_personal, personal_data.BASE_KINDS), ("op7_secret_scan", plain_secrets, secret_scan.BASE_KINDS)])
 def test_query(spark, texts, name, plain, kinds):
     rows = {r["doc_id"]: r for r in catalogue.QUERIES[name](spark, FOLDER).collect()}
