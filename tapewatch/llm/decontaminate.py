@@ -3,15 +3,17 @@
 A text becomes a sequence of words in which numbers, units after numbers and names (capitalised words inside a
 sentence) are typed placeholders. Windows of this template are hashed and joined with those of the benchmark
 items. Matches on one diagonal (place in the document less place in the item) are put together; the values
-that stand in the placeholders must correspond one to one over all of them, which is what a re-parameterised
-question does and a chance match does not. An unbroken stretch of ``run`` words, or all but one word of a
-shorter item, is a leak.
+that stand in the placeholders must correspond one to one, which is what a re-parameterised
+question does and a chance match does not. An unbroken stretch of ``run`` words, or all but one word of a shorter item, is a
+leak. Where values do not correspond, the match is cut: its longest stretch without two placeholders at odds is a leak if that
+many of its words, placeholders' values among them, stand in the item as they are.
 
 The join is prepared in the row: a bit table over the hashes of the benchmark, of a size that follows the
 benchmark and has a fixed bound, removes nearly all windows of a document before any row is made of them.
 
 Defined cases: a null text or item has no words and matches nothing; items of fewer than ``SHORTEST`` words are
-too short to be told from chance and match nothing; repeated documents or items match one by one; windows with
+too short to be told from chance and match nothing; repeated documents match one by one; items that share an identifier
+are matched each for itself and reported once, with their longest match; windows with
 fewer than half their words outside placeholders are not used; empty tables give an empty result; a text of any
 length is searched whole; other columns are not used.
 """
@@ -74,16 +76,24 @@ def slots(words: Column, spoken: Column, at: Column, size: Column) -> Column:
     return F.transform(F.filter(both, lambda t: placeholder(t["w"])), lambda t: t["v"])
 
 
+def spots(words: Column, at: Column, size: Column) -> Column:
+    """Where in a window its placeholders are, in order."""
+    return F.filter(F.sequence(F.lit(0), size - 1), lambda k: placeholder(F.get(words, at + k)))
+
+
 def benchmark_windows(items: DataFrame, item: str, text: str) -> DataFrame:
-    """``item``, ``n_words``, ``size``, ``place``, ``hash`` and ``slots`` of every window of every item."""
-    words = items.select(F.col(item).alias("item"), template(text_of(text)).alias("words"), values(text_of(text)).alias("spoken"))
+    """``item``, ``item_row``, ``n_words``, ``size``, ``place``, ``hash``, ``slots`` and their ``spots`` of every window of every item."""
+    # identifiers may be shared by different items
+    row = F.xxhash64(F.col(item).cast("string"), text_of(text)).alias("item_row")
+    words = items.select(F.col(item).alias("item"), row, template(text_of(text)).alias("words"), values(text_of(text)).alias("spoken"))
     words = words.where(F.size("words") >= SHORTEST)
     found = None
     for size in range(SHORTEST, WINDOW + 1):
         own = words.where(F.size("words") >= size) if size == WINDOW else words.where(F.size("words") == size)
         placed = own.select("*", F.posexplode(hashes(F.col("words"), size)).alias("place", "hash"))
         values_ = slots(F.col("words"), F.col("spoken"), F.col("place"), F.lit(size)).alias("slots")
-        rows = placed.select("item", F.size("words").alias("n_words"), F.lit(size).alias("size"), "place", "hash", values_)
+        spots_ = spots(F.col("words"), F.col("place"), F.lit(size)).alias("spots")
+        rows = placed.select("item", "item_row", F.size("words").alias("n_words"), F.lit(size).alias("size"), "place", "hash", values_, spots_)
         rows = rows.where(2 * F.size("slots") <= size)
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -99,6 +109,33 @@ def bit_table(windows: DataFrame, log_bits: int) -> Column:
     return packed.select(F.transform("rows", lambda r: r["bits"]).alias("table")).scalar()
 
 
+def one_to_one(pairs: Column) -> Column:
+    """No value stands for two others, on either side."""
+    kinds = lambda *names: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(*[p[n].alias(n) for n in names]))))
+    return (kinds("mine", "theirs") == kinds("mine")) & (kinds("mine", "theirs") == kinds("theirs"))
+
+
+def longest_stretch(pairs: Column, begin: Column, end: Column) -> Column:
+    """``begin`` and ``end`` of the longest stretch of words without two placeholders at odds, the first of equal ones.
+
+    Correspondence one to one is a property of each two placeholders, so a stretch that ends at a placeholder begins after
+    the last earlier one at odds with it. ``pairs`` are by place; each is compared with those of its own island only.
+    """
+
+    def step(acc: Column, p: Column) -> Column:
+        at_odds = F.filter(pairs, lambda q: (q["at"] < p["at"]) & (q["at"] >= acc["begin"]) & ((q["mine"] == p["mine"]) != (q["theirs"] == p["theirs"])))
+        last = F.array_max(F.transform(at_odds, lambda q: q["at"]))
+        # a stretch that this placeholder ends
+        better = last.isNotNull() & (p["at"] - acc["begin"] > acc["best"]["end"] - acc["best"]["begin"])
+        ended = F.struct(acc["begin"].alias("begin"), p["at"].alias("end"))
+        return F.struct(F.coalesce(last + 1, acc["begin"]).alias("begin"), F.when(better, ended).otherwise(acc["best"]).alias("best"))
+
+    def final(acc: Column) -> Column:
+        return F.when(end - acc["begin"] > acc["best"]["end"] - acc["best"]["begin"], F.struct(acc["begin"].alias("begin"), end.alias("end"))).otherwise(acc["best"])
+
+    return F.aggregate(pairs, F.struct(begin.alias("begin"), F.struct(begin.alias("begin"), begin.alias("end")).alias("best")), step, final)
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", run: int = RUN
 ) -> DataFrame:
@@ -139,22 +176,26 @@ def find_leaks(
     side = F.broadcast(windows) if total <= BROADCAST_WINDOWS else windows
     matched = hits.join(side.withColumnRenamed("size", "item_size"), "hash").where("size = item_size")
 
-    pairs = F.arrays_zip(F.col("values").alias("mine"), F.col("slots").alias("theirs"))
-    placed = matched.select("key", "row", "item", "n_words", "size", "at", (F.col("at") - F.col("place")).alias("diagonal"), pairs.alias("pairs")).distinct()
-    order = Window.partitionBy("row", "item", "diagonal", "size").orderBy("at")
+    places = F.transform("spots", lambda spot: F.col("at") + spot)
+    pairs = F.arrays_zip(places.alias("at"), F.col("values").alias("mine"), F.col("slots").alias("theirs"))
+    placed = matched.select("key", "row", "item", "item_row", "n_words", "size", "at", (F.col("at") - F.col("place")).alias("diagonal"), pairs.alias("pairs")).distinct()
+    order = Window.partitionBy("row", "item_row", "diagonal", "size").orderBy("at")
     islands = placed.withColumn("island", F.col("at") - F.row_number().over(order))
     # an island is no longer than its item
-    grown = islands.groupBy("row", "item", "diagonal", "size", "island").agg(
+    grown = islands.groupBy("row", "item_row", "diagonal", "size", "island").agg(
         F.first("key").alias("key"),
+        F.first("item").alias("item"),
         F.first("n_words").alias("item_words"),
-        (F.count(F.lit(1)) + F.first("size") - 1).alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-    )
-    side_of = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
-    one_to_one = (F.size("pairs") == side_of("mine")) & (F.size("pairs") == side_of("theirs"))
-    long_enough = F.col("n_words") >= F.least(F.lit(run), F.greatest(F.col("item_words") - 1, F.lit(SHORTEST)))
-    same = F.forall("pairs", lambda p: p["mine"] == p["theirs"])
-    leaks = grown.where(one_to_one & long_enough).groupBy("row", "item").agg(
-        F.first("key").alias("key"), F.max("n_words").alias("n_words"), F.max(same).alias("exact")
+        F.min("at").alias("begin"),
+        (F.max("at") + F.first("size")).alias("end"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"),
     )
+    cut = grown.withColumn("stretch", F.when(one_to_one(F.col("pairs")), F.struct("begin", "end")).otherwise(longest_stretch(F.col("pairs"), F.col("begin"), F.col("end"))))
+    cut = cut.withColumn("n_words", F.col("stretch.end") - F.col("stretch.begin"))
+    least = F.least(F.lit(run), F.greatest(F.col("item_words") - 1, F.lit(SHORTEST)))
+    differ = lambda p: (p["at"] >= F.col("stretch.begin")) & (p["at"] < F.col("stretch.end")) & (p["mine"] != p["theirs"])
+    cut = cut.withColumn("n_differ", F.size(F.filter("pairs", differ)))
+    whole = F.col("n_words") == F.col("end") - F.col("begin")
+    long_enough = F.when(whole, F.col("n_words")).otherwise(F.col("n_words") - F.col("n_differ")) >= least
+    leaks = cut.where(long_enough).groupBy("row", "item").agg(F.first("key").alias("key"), F.max("n_words").alias("n_words"), F.max(F.col("n_differ") == 0).alias("exact"))
     return leaks.select(F.col("key").alias(key), F.col("item").alias(item), "n_words", "exact")

@@ -158,6 +158,61 @@ def test_reparameterised_questions(spark):
     assert decontaminate.find_leaks(docs, items.where("false")).count() == 0 and decontaminate.find_leaks(docs.where("false"), items).count() == 0
 
 
+def plain_leaks(docs, items):
+    """Every diagonal of every document and item, word by word; all stretches of a match tried."""
+    size_, run, shortest, marks = decontaminate.WINDOW, decontaminate.RUN, decontaminate.SHORTEST, {decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT}
+    found = {}
+    for key, words, spoken in docs:
+        for item, theirs, said in items:
+            size = min(size_, len(theirs))
+            if size < shortest:
+                continue
+            for diagonal in range(size - len(theirs), len(words) - size + 1):
+                same = lambda at: 0 <= at - diagonal < len(theirs) and words[at] == theirs[at - diagonal]  # noqa: E731, B023
+                fits = lambda at: all(same(k) for k in range(at, at + size)) and 2 * sum(words[k] in marks for k in range(at, at + size)) <= size  # noqa: E731, B023
+                starts = [at for at in range(max(0, diagonal), len(words) - size + 1) if fits(at)]
+                for begin in [at for at in starts if at - 1 not in starts]:
+                    end = next(at for at in range(begin, len(words) + 1) if at not in starts) + size - 1
+                    slots = [(k, spoken[k], said[k - diagonal]) for k in range(begin, end) if words[k] in marks]
+                    at_odds = [(p[0], q[0]) for p in slots for q in slots if p[0] < q[0] and (p[1] == q[1]) != (p[2] == q[2])]
+                    a, b = max(((a, b) for a in range(begin, end) for b in range(a + 1, end + 1) if not any(a <= p and q < b for p, q in at_odds)), key=lambda s: (s[1] - s[0], -s[0]))
+                    differ = sum(a <= k < b and mine != other for k, mine, other in slots)
+                    if b - a - (differ if at_odds else 0) >= min(run, max(len(theirs) - 1, shortest)):
+                        n, exact = found.get((key, item), (0, False))
+                        found[key, item] = (max(n, b - a), exact or differ == 0)
+    return found
+
+
+def test_leaks_are_what_all_diagonals_give(spark):
+    """Items full of names and numbers, copied whole, in part, with values exchanged one to one and at random."""
+    draw = random.Random(12)
+    names, plain = ["Tom", "Bob", "Ann", "Eve", "Kim"], "goes sees with then over under after many small red home again".split()
+
+    def word(k):
+        return draw.choice(plain) if k % 3 else draw.choice([draw.choice(names), str(draw.randrange(4)), f"{draw.randrange(4)} km"])
+
+    items = [(k, "so " + " ".join(word(j) for j in range(draw.choice([4, 6, 9, 20, 45])))) for k in range(14)]
+    items += [(3, "so " + " ".join(word(j) for j in range(30))), (None, "so " + " ".join(word(j) for j in range(20)))]
+    docs = []
+    for k in range(150):
+        words = draw.choice(items)[1].split()
+        turned = dict(zip(names, draw.sample(names, 5), strict=True)) if k % 3 else {}
+        words = [turned.get(w, w) for w in words]
+        for _ in range(draw.choice([0, 0, 1, 2, 3])):
+            at = draw.randrange(len(words))
+            words[at] = draw.choice(names) if words[at] in names else str(draw.randrange(4)) if words[at].isdigit() else words[at]
+        docs.append((k, "and " + " ".join(words) + " and"))
+    tom = "so " + " ".join("Tom" if j in (6, 18, 30) else plain[j % 11] + "abcdefghijklmnopqrstuvwxyz"[j % 26] for j in range(36))
+    items.append((90, tom))
+    docs.append((900, tom[: tom.rindex("Tom")] + "Bob" + tom[tom.rindex("Tom") + 3 :]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda df, key: [tuple(r) for r in df.select(key, decontaminate.template(F.col("text")), decontaminate.values(F.col("text"))).collect()]
+    expected = plain_leaks(split(frame, "doc_id"), split(table, "item_id"))
+    found = {(r["doc_id"], r["item_id"]): (r["n_words"], r["exact"]) for r in decontaminate.find_leaks(frame, table).collect()}
+    assert found == expected and (900, 90) in found and 50 < len(found) and len({n for n, _ in found.values()}) > 5
+
+
 def test_op5_finds_passages(spark, texts):
     """Documents that share thirteen words in a row with an item, and no others."""
     size = decontaminate.RUN
