@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -114,8 +115,10 @@ def test_op3(spark, texts):
     assert rows == plain_lines(sorted(texts.items()))
 
 
-def test_near_lines_in_large_groups(spark):
-    """Groups whose members are near some, not all, of the others."""
+@pytest.mark.parametrize("large", [2, line_dedup.LARGE])
+def test_near_lines_in_large_groups(spark, monkeypatch, large):
+    """Groups whose members are near some, not all, of the others; both ways give the same rows."""
+    monkeypatch.setattr(line_dedup, "LARGE", large)
     draw = random.Random(8)
     base = [[f"w{g}_{k}" for k in range(20)] for g in range(4)]
     lines = []
