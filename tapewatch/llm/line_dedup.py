@@ -14,8 +14,9 @@ signatures, so that few pairs carry whole sets through a shuffle, and then by th
 In the group of a frequent token all classes are first compared with the earliest one only. Groups of many near
 copies are done with that, linearly; what it does not decide is joined with all earlier classes of the group.
 
-Rarity comes from counts over ``2 ** TABLE_BITS`` hash classes, of the tokens of one text in ``SAMPLED``: a table of a fixed
-size, one byte a class. Any order, and any choice of frequent tokens, gives the same result.
+Rarity comes from counts over ``2 ** TABLE_BITS`` hash classes, of the words of all texts: a table of a fixed size, one byte a
+class. A token whose class counts one word is shared by no two lines and is not filed. Any order, and any choice of
+frequent tokens, gives the same result.
 
 Defined cases: null, empty and blank lines stay and are not counted; rows that share key and text are decided
 alike; rows that share only the key are ordered by their text's hash; a null key comes first; an empty table
@@ -37,7 +38,7 @@ from tapewatch.operators.ordered import join_on, small_side
 from tapewatch.session import scratch_path, staged
 
 PERCENT = 80
-TABLE_BITS, SAMPLED = 20, 8
+TABLE_BITS = 20
 #: Hash classes of the table that are put together in one row on the way.
 CHUNK = 4096
 #: Classes under one token from which they are first compared with the earliest one.
@@ -75,14 +76,22 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return split.where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def rarity_of(count: Column) -> Column:
+    """A byte that grows with the number of words in a hash class."""
+    return F.least(F.floor(4 * F.log2(1 + count)), F.lit(127)).cast("byte")
+
+
+#: The byte of hash classes that count one word.
+ONCE = int(4 * math.log2(2))
+
+
 def rarity_table(docs: DataFrame, text: str) -> Column:
-    """For each hash class of tokens a byte that grows with their number in a sample, as one array."""
+    """For each hash class of tokens a byte that grows with their number in all texts, as one array."""
     spark = docs.sparkSession
-    sample = docs.select(text_of(text).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(SAMPLED)) == 0)
-    found = sample.select(F.explode(F.split(F.lower("body"), SPACE)).alias("word"))
+    found = docs.select(F.explode(words(text_of(text))).alias("word")).where("word <> ''")
     counted = found.groupBy(cell(F.xxhash64("word")).alias("id")).count()
     every = spark.range(1 << TABLE_BITS).join(counted, "id", "left")
-    rank = F.floor(4 * F.log2(1 + F.coalesce("count", F.lit(0)))).cast("byte").alias("rank")
+    rank = rarity_of(F.coalesce("count", F.lit(0))).alias("rank")
     chunks = every.groupBy(F.floor(F.col("id") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("id", rank))).alias("rows"))
     chunks = chunks.select("chunk", F.transform("rows", lambda r: r["rank"]).alias("ranks"))
     packed = staged(chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "ranks"))).alias("chunks")).select(F.flatten(F.transform("chunks", lambda c: c["ranks"])).alias("ranks")))
@@ -205,8 +214,8 @@ def met(x: DataFrame, y: DataFrame, once: Column) -> DataFrame:
 
 def similar_classes(rows: DataFrame, classes: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``id`` of classes that are similar to an earlier one; ``rows`` has one row for each token of a prefix."""
-    # a sample says which tokens are frequent, so that only their rows are counted
-    frequent = rows.where(F.shiftright("token", HASH_BITS) >= int(4 * math.log2(1 + LARGE / SAMPLED / 4)))
+    # a token of that many classes is counted as often at least, so that only rows of such tokens are counted again
+    frequent = rows.where(F.shiftright("token", HASH_BITS) >= int(4 * math.log2(1 + LARGE)))
     of_token = staged(frequent.groupBy("token").count().where(F.col("count") >= LARGE).select("token"))
     later = F.col("y.id") < F.col("x.id")
     if of_token.isEmpty():
@@ -239,6 +248,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return verified(pairs, lambda chosen: sets_of(classes, docs, chosen, key, text))
 
     rows = classes.select("id", "size", "signature", F.posexplode("prefix").alias("at", "token")).select("token", "id", "size", "signature", "at")
+    rows = rows.where(F.shiftright("token", HASH_BITS) > ONCE)
     found = similar_classes(rows, classes, similar).withColumn("gone", F.lit(True))
 
     # all other lines are the only one of their class, and stay

@@ -1,5 +1,6 @@
 """Operators over the whole corpus, against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -328,6 +329,17 @@ def shingle_sets(texts):
     return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
 
 
+def test_line_tokens_are_counted_in_all_texts(spark):
+    """Every word counts, wherever it stands, so that the byte of a class tells words that stand once from all others."""
+    texts = [f"Own{k} both\tBOTH\n\nboth" for k in range(40)] + [None, " \n "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = spark.createDataFrame([(w,) for w in ["both", *[f"own{k}" for k in range(40)]]], "word string")
+    ranks = line_dedup.rarity_table(docs, "text")
+    found = words.withColumn("ranks", ranks).select("word", F.col("ranks")[line_dedup.cell(F.xxhash64("word"))].alias("rank"))
+    expected = {"both": int(4 * math.log2(1 + 120))} | {f"own{k}": line_dedup.ONCE for k in range(40)}
+    assert {r["word"]: r["rank"] for r in found.collect()} == expected
+
+
 def near_sets(sets):
     return [(j, i) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
 
