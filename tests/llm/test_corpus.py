@@ -377,6 +377,15 @@ def test_near_copies_are_found_exactly(spark, monkeypatch):
     assert kept.columns == full.columns and {r["_digest"] for r in kept.collect()} == {"clash"}
 
 
+def test_shingles_are_counted_in_all_texts(spark):
+    texts = [f"a b c d e own{k}" for k in range(300)] + [None]
+    table = near_copies.rarity_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    counts = np.zeros(len(table), np.int64)
+    for text in texts:
+        np.add.at(counts, near_copies.cells(near_copies.shingle_set(text or "")), 1)
+    assert counts.max() == 300 and np.array_equal(table, np.floor(4 * np.log2(1.0 + counts)))
+
+
 def test_no_near_copies_come_out(spark, docs, empty):
     """No two documents that stay have a similarity of 0.8."""
     kept = [r["text"] or "" for r in corpus_pipeline.keep_one_of_copies(spark, docs, FOLDER).collect()]
