@@ -111,3 +111,13 @@ def test_training_and_scoring_share_the_enrichment(spark, tmp_path):
     both = tables.read_predictions(spark, f"{root}/scored").select("order_id", F.col("predicted_proba").alias("again"))
     pairs = found["predictions"].join(both, "order_id")
     assert pairs.count() == 90 and pairs.where("abs(predicted_proba - again) > 1e-9").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_made_once_for_all_metrics(table):
+    members = {"boosted": models.boosted_trees(1), "linear": models.linear_member()}
+    _, scored, _ = models.train_and_evaluate(table, FEATURES, members, sampling="none", fill_absent=True)
+    assert "UDF" not in plan_of(scored) and scored.count() == 300
