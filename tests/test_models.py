@@ -121,3 +121,16 @@ def test_scores_are_made_once_for_all_metrics(table):
     members = {"boosted": models.boosted_trees(1), "linear": models.linear_member()}
     _, scored, _ = models.train_and_evaluate(table, FEATURES, members, sampling="none", fill_absent=True)
     assert "UDF" not in plan_of(scored) and scored.count() == 300
+
+
+def test_training_queries_build_table_and_vectors_once(spark, table, monkeypatch):
+    from queries import training
+
+    built = []
+    monkeypatch.setattr(training, "training_table", lambda *_: built.append(1) or table)
+    monkeypatch.setattr(training, "training_columns", lambda _: FEATURES[:2])
+    monkeypatch.setattr(training, "small_members", lambda: {"boosted": models.boosted_trees(1), "linear": models.linear_member()})
+    _, train, valid = training.inputs(spark, "")
+    assert "UDF" not in plan_of(train) + plan_of(valid) and (train.count(), valid.count()) == (900, 300)
+    built.clear()
+    assert training.ml7(spark, "").count() == 300 and len(built) == 1
