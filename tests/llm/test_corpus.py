@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapewatch.llm import catalogue, decontaminate, line_dedup, mixing, near_copies, quality_rules, simhash
+from tapewatch.llm import components as components_module
 from tapewatch.llm.components import connected
 from tests.compare import differences, duck
 from tests.llm.conftest import FOLDER
@@ -60,6 +61,20 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_made_in_tasks(spark, monkeypatch):
+    """Edges of one task need no further round; those of many tasks, and of tasks that hold few edges at a time, give the same."""
+    draw = random.Random(4)
+    links = [(k + 1, k) for k in range(300)] + [(400, k) for k in range(401, 500)] + [(draw.randrange(500, 900), draw.randrange(500, 900)) for _ in range(300)] + [(-5, -5), (-7, -6)]
+    low = components(908, [(a + 7, b + 7) for a, b in links])
+    expected = {k - 7: low[k] - 7 for k in range(908) if low[k] != k}
+    frame, rounds, staged = spark.createDataFrame(links, "a long, b long"), [], components_module.staged
+    monkeypatch.setattr(components_module, "staged", lambda df: rounds.append(df) or staged(df))
+    assert {r["node"]: r["root"] for r in connected(frame.coalesce(1)).collect()} == expected
+    assert len(rounds) == 1
+    monkeypatch.setattr(components_module, "HELD_EDGES", 20)
+    assert {r["node"]: r["root"] for r in connected(frame.repartition(5)).collect()} == expected
+
+
 def test_links_for_every_limit(spark):
     draw = np.random.default_rng(5)
     for bits in (1, 2, 3):
