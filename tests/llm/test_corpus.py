@@ -177,6 +177,20 @@ def test_reparameterised_questions(spark):
     assert decontaminate.find_leaks(docs, items.where("false")).count() == 0 and decontaminate.find_leaks(docs.where("false"), items).count() == 0
 
 
+def test_leaks_at_every_place(spark):
+    """Windows are looked up in steps that no leak falls between, wherever it begins; a short item shortens the steps."""
+    item = "kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu"
+    few = " ".join(item.split()[::-1][:9])
+    rows = [(100 * run + lead, " ".join(["x"] * lead + item.split()[2 : 2 + run] + ["y"] * 5)) for run in (12, 13) for lead in range(14)]
+    docs = spark.createDataFrame(rows + [(lead, "x " * lead + few + " y") for lead in range(14)], "doc_id long, text string")
+    for items, step in (([(1, item)], 6), ([(1, item), (2, few)], 1)):
+        frame = spark.createDataFrame(items, "item_id long, text string")
+        windows = decontaminate.benchmark_windows(frame, "item_id", "text")
+        assert [(r["size"], r["step"]) for r in decontaminate.sizes_of(windows, decontaminate.RUN)] == [(decontaminate.WINDOW, step)]
+        found = {(r["doc_id"], r["item_id"], r["n_words"], r["exact"]) for r in decontaminate.find_leaks(docs, frame).collect()}
+        assert found == {(1300 + lead, 1, 13, True) for lead in range(14)} | {(lead, 2, 9, True) for lead in range(14) if step == 1}
+
+
 def plain_leaks(docs, items):
     """Every diagonal of every document and item, word by word; all stretches of a match tried."""
     size_, run, shortest, marks = decontaminate.WINDOW, decontaminate.RUN, decontaminate.SHORTEST, {decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT}
