@@ -75,6 +75,23 @@ def test_components_made_in_tasks(spark, monkeypatch):
     assert {r["node"]: r["root"] for r in connected(frame.repartition(5)).collect()} == expected
 
 
+def test_few_components_of_many_tasks_need_no_rounds(spark, monkeypatch):
+    """Edges that lie in many tasks, fewer than one holds, are put together at once: a chain through all tasks takes two lineage cuts."""
+    draw = random.Random(5)
+    links = [(k + 1, k) for k in range(300)] + [(draw.randrange(400, 700), draw.randrange(400, 700)) for _ in range(250)]
+    low = components(700, links)
+    cuts, staged = [], components_module.staged
+    monkeypatch.setattr(components_module, "staged", lambda df: cuts.append(df) or staged(df))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert found == {k: low[k] for k in range(700) if low[k] != k}
+    assert len(cuts) == 2
+
+
 def test_links_for_every_limit(spark):
     draw = np.random.default_rng(5)
     for bits in (1, 2, 3):
