@@ -59,14 +59,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def words(line: Column) -> Column:
-    """The lower-cased words of a line, with empty ones; splitting at one character needs no pattern."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    """The lower-cased words of a line, with empty ones; splitting at one character, and looking for others, needs no pattern."""
+    other = reduce(Column.__or__, [F.contains(line, F.lit(space)) for space in "\t\n\x0b\x0c\r"])
+    plain = F.when(other, F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
     return F.split(F.lower(plain), " ")
 
 
+def hashes(line: Column) -> Column:
+    """Hashes of the words of a line."""
+    return F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w))
+
+
 def tokens(line: Column) -> Column:
     """Hashes of the distinct words of a line."""
-    return F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(hashes(line))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,7 +94,8 @@ ONCE = int(4 * math.log2(2))
 def rarity_table(docs: DataFrame, text: str) -> Column:
     """For each hash class of tokens a byte that grows with their number in all texts, as one array."""
     spark = docs.sparkSession
-    found = docs.select(F.explode(words(text_of(text))).alias("word")).where("word <> ''")
+    lines = docs.select(F.explode(F.split(text_of(text), "\n")).alias("body"))
+    found = lines.select(F.explode(words(F.col("body"))).alias("word")).where("word <> ''")
     counted = found.groupBy(cell(F.xxhash64("word")).alias("id")).count()
     every = spark.range(1 << TABLE_BITS).join(counted, "id", "left")
     rank = rarity_of(F.coalesce("count", F.lit(0))).alias("rank")
@@ -122,8 +129,8 @@ def described(lines: DataFrame, ranks: Column) -> DataFrame:
     def packed(h: Column) -> Column:
         return F.shiftleft(F.col("ranks")[cell(h)].cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    # rare tokens first; a set is in one order whatever that of its line
-    ordered = F.sort_array(F.transform(tokens(F.col("body")), packed)).alias("tokens")
+    # rare tokens first; a set is in one order whatever that of its line; what stands in a lambda's array is not compiled
+    ordered = F.sort_array(F.array_distinct(F.transform(hashes(F.col("body")), packed))).alias("tokens")
     ordered = lines.withColumn("ranks", ranks).select("key", "digest", "line", ordered)
     size = F.size("tokens")
     prefix = F.when(size >= LEAST_SIZE, F.slice("tokens", 1, prefix_size(size).cast("int"))).otherwise(F.array().cast("array<bigint>"))
@@ -131,10 +138,13 @@ def described(lines: DataFrame, ranks: Column) -> DataFrame:
     return ordered.select("key", "digest", "line", *names, size.alias("size"), signature(F.col("tokens")).alias("signature"), prefix.alias("prefix"))
 
 
+def bit_of(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def signature(tokens: Column) -> Column:
     """One bit of a long for each token."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit(h)))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit_of(h)))
 
 
 def room(mine: str, theirs: str) -> Column:
@@ -167,15 +177,13 @@ def candidates(met: DataFrame) -> DataFrame:
     return counted.where(F.col("n") + follow >= needed(F.col("size_a"), F.col("size_b"))).select("a", "b")
 
 
-def wide_signature(tokens: Column) -> Column:
-    """One bit of ``WIDE`` longs for each token."""
-
-    def part(k: int) -> Column:
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-        mine = F.filter(tokens, lambda h: F.pmod(F.shiftright(h, 6), F.lit(WIDE)) == k)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit(h)))
-
-    return F.array(*[part(k) for k in range(WIDE)])
+def wide_signatures(sets: DataFrame) -> DataFrame:
+    """``id``, ``size`` and one bit of ``WIDE`` longs, ``wide0`` and on, for each token of a set; sets may repeat."""
+    # an inner explode would look for empty sets below the join, in all lines
+    rows = sets.select("id", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("h"))
+    part = F.pmod(F.shiftright("h", 6), F.lit(WIDE))
+    bits = [F.bit_or(F.when(part == k, bit_of(F.col("h"))).otherwise(F.lit(0).cast("long"))).alias(f"wide{k}") for k in range(WIDE)]
+    return rows.groupBy("id").agg(F.max("size").alias("size"), *bits)
 
 
 def with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,8 +204,8 @@ def sets_of(classes: DataFrame, docs: DataFrame, pairs: DataFrame, key: str, tex
 
 def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``id`` of the later classes of pairs whose sets are similar; ``sets`` gives those of a table of pairs."""
-    signed = sets(pairs).select("id", F.size("tokens").alias("size"), wide_signature(F.col("tokens")).alias("wide")).dropDuplicates(["id"])
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    signed = wide_signatures(sets(pairs))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"wide{k}_a").bitwiseXOR(F.col(f"wide{k}_b"))) for k in range(WIDE)])
     sizes = F.col("size_a") + F.col("size_b")
     # a bit that only one of the sets has stands for a token that only it has
     left = staged(with_both(pairs, signed).where(apart <= sizes - 2 * needed(F.col("size_a"), F.col("size_b"))).select("a", "b"))
@@ -219,7 +227,7 @@ def similar_classes(rows: DataFrame, classes: DataFrame, similar: Callable[[Data
     of_token = staged(frequent.groupBy("token").count().where(F.col("count") >= LARGE).select("token"))
     later = F.col("y.id") < F.col("x.id")
     if of_token.isEmpty():
-        return similar(staged(candidates(met(rows, rows, later))))
+        return similar(written(candidates(met(rows, rows, later)), "line-pairs"))
     large = written(frequent.join(small_side(of_token), "token").join(classes.select("id", "first"), "id"), "line-groups")
     hubs = large.groupBy("token").agg(F.min(F.struct("first", "id", "size", "signature", "at")).alias("y"))
     near = large.select("token", F.struct("id", "size", "signature", "at").alias("x")).join(small_side(hubs), "token").where(F.col("x.id") != F.col("y.id"))
@@ -233,7 +241,7 @@ def similar_classes(rows: DataFrame, classes: DataFrame, similar: Callable[[Data
     sides = [met(usual, usual, later), met(open_rows, large, later), met(gone, open_rows, later)]
     flat = [F.struct(F.col(f"{name}.id"), F.col(f"{name}.size"), F.col(f"{name}.at")).alias(name) for name in ("x", "y")]
     pairs = reduce(DataFrame.unionByName, [side.select(*flat) for side in sides])
-    return decided.unionByName(similar(staged(candidates(pairs)))).distinct()
+    return decided.unionByName(similar(written(candidates(pairs), "line-pairs"))).distinct()
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +269,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def summary(lines: DataFrame) -> DataFrame:
     """Per document (``key``, ``digest``): lines with a word, and the places of removed ones in order."""
     places = F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line"))))
-    return lines.groupBy("key", "digest").agg(F.count_distinct("line").alias("n_lines"), places.alias("removed"))
+    # the set of all places, not a distinct count, which would deal every line anew
+    return lines.groupBy("key", "digest").agg(F.size(F.collect_set("line")).cast("long").alias("n_lines"), places.alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -386,6 +386,34 @@ def test_line_tokens_are_counted_in_all_texts(spark):
     assert {r["word"]: r["rank"] for r in found.collect()} == expected
 
 
+def test_lines_are_dealt_once_for_the_summary(spark):
+    """A document's lines meet in one shuffle; copies of a document count its lines once."""
+    rows = [(1, 5, 0, False), (1, 5, 2, True), (1, 5, 0, False), (1, 5, 2, True), (2, 6, 1, False), (None, 7, 0, True)]
+    frame = spark.createDataFrame(rows, "key long, digest long, line int, removed boolean").repartition(3)
+    found = line_dedup.summary(frame)
+    assert found.schema["n_lines"].dataType.simpleString() == "bigint"
+    assert {(r["key"], r["digest"], r["n_lines"], tuple(r["removed"])) for r in found.collect()} == {(1, 5, 2, (2,)), (2, 6, 1, ()), (None, 7, 1, (0,))}
+    plan = line_dedup.summary(spark.createDataFrame(rows, frame.schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_wide_signatures_hold_every_token(spark):
+    """Sets may come twice; no set is computed again to see whether it is empty."""
+    draw = random.Random(3)
+    sets = [(k, [draw.randrange(-(2**63), 2**63) for _ in range(n)]) for k, n in enumerate((1, 4, 60, 300))]
+    frame = spark.createDataFrame([*sets, sets[2]], "id long, tokens array<long>")
+    expected = {}
+    for k, tokens in sets:
+        wide = [0] * line_dedup.WIDE
+        for h in tokens:
+            wide[(h >> 6) % line_dedup.WIDE] |= 1 << (h & 63)
+        expected[k] = (len(tokens), [w - 2**64 if w >= 2**63 else w for w in wide])
+    found = line_dedup.wide_signatures(frame)
+    assert {r["id"]: (r["size"], [r[f"wide{k}"] for k in range(line_dedup.WIDE)]) for r in found.collect()} == expected
+    computed = frame.select("id", F.array_distinct("tokens").alias("tokens"))
+    assert "Filter" not in line_dedup.wide_signatures(computed)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def near_sets(sets):
     return [(j, i) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
 
