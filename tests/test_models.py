@@ -134,3 +134,22 @@ def test_training_queries_build_table_and_vectors_once(spark, table, monkeypatch
     assert "UDF" not in plan_of(train) + plan_of(valid) and (train.count(), valid.count()) == (900, 300)
     built.clear()
     assert training.ml7(spark, "").count() == 300 and len(built) == 1
+
+
+def test_search_query_fits_all_rounds(spark, table, monkeypatch):
+    """Every option of the grid is fitted with the rounds that are the learner's own."""
+    from queries import training
+
+    fitted, fit = [], models.fit
+    monkeypatch.setattr(training, "inputs", lambda *_: (FEATURES[:2], *(models.model_input(table.where(F.col("split") == s), FEATURES[:2]) for s in ("train", "valid"))))
+    monkeypatch.setattr(models, "fit", lambda e, data: fitted.append((e.getMaxIter(), e.getMaxDepth(), e.getStepSize())) or fit(e.copy({e.maxIter: 1}), data))
+    assert training.ml6(spark, "").count() == 300
+    assert sorted(fitted) == [(100, depth, rate) for depth in (3, 5) for rate in (0.05, 0.1)]
+
+
+def test_trials_at_once_change_nothing(spark, table):
+    """The best trial is kept, of equal ones the first, whichever ends first."""
+    data = models.model_input(table, FEATURES, fill_absent=True)
+    grid = {"maxDepth": [1, 3], "maxIter": [1, 2]}
+    found = [models.search(models.boosted_trees(2), grid, data, data, at_once=n).stages[-1].toDebugString.partition("\n")[2] for n in (1, 4)]
+    assert found[0] == found[1]
